@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import exact_topk, media_columns, minhash_near_dedup, packing, secret_scans, substring_dedup, toxicity
 
 _MODULES = {
     "op1_substring_dedup": substring_dedup,
+    "op2_media_columns": media_columns,
+    "op3_packing": packing,
+    "op4_secret_scans": secret_scans,
+    "op5_toxicity": toxicity,
+    "op8_minhash_near_dedup": minhash_near_dedup,
+    "op9_exact_topk": exact_topk,
 }
 
 
