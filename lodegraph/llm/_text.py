@@ -49,8 +49,11 @@ def raw(vocabulary: pa.Array) -> list[bytes]:
 
 def hashes(vocabulary: pa.Array, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each vocabulary entry, the same in every process."""
-    own = raw(vocabulary)
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in own), np.uint64, len(own))
+    return hash_bytes(raw(vocabulary), seed)
+
+
+def hash_bytes(items: list[bytes], seed: int = 0) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in items), np.uint64, len(items))
 
 
 def mix(z: np.ndarray) -> np.ndarray:

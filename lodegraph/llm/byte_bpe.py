@@ -2,8 +2,8 @@
 
 A word (a match of the pattern) becomes rows of token and position, one a byte.  The recursive query joins neighbours with
 the merge table and contracts each word's pair of least rank, the leftmost one and with it further disjoint ones of the same
-pair, until no neighbours merge.  Distinct words of a slice that this process has not met yet are encoded in one query; what
-it has met is kept in a bounded table.  Decoding joins the ids of each text with the vocabulary and aggregates the bytes in
+pair, until no neighbours merge.  Distinct words of a slice that this process does not hold are encoded in one query; the
+words it met first, up to `KEEP`, are kept.  Decoding joins the ids of each text with the vocabulary and aggregates the bytes in
 the order of their positions.
 
 No shuffle: each task holds a slice of rows, the merge table (from the rank file, of fixed size) and the kept words.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 
-KEEP = 300_000
+KEEP = 400_000
 _coders: dict = {}
 
 #: State of a word: its tokens by position, `best` the least rank among its pairs (null: done).  Rows of done words stay in
@@ -59,30 +59,38 @@ select i.doc, string_agg(v.hex, '' order by i.pos) as hex from ids i join vocabu
 
 
 class Coder:
-    """Encodes and decodes by a rank file; one a process."""
+    """Encodes and decodes by a rank file; one a process.  The tables of either side are made at first use."""
 
     def __init__(self, path: str, pattern: str, keep: int = KEEP):
         import duckdb
 
         with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.find, self.keep = regex.compile(pattern).findall, keep
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
-        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        a, b, r = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
-        self._table("merges", {"a": a, "b": b, "rank": r})
-        self._table("vocabulary", {"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]})
-        self.at: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.made: set[str] = set()
+        self.words: dict[str, bytes] = {}
+        self.at: dict[str, bytes] = {}
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"create or replace table {name} as select * from given")
         self.db.unregister("given")
 
-    def _learn(self, new: list[str]) -> None:
+    def _once(self, name: str, columns) -> None:
+        if name not in self.made:
+            self._table(name, columns())
+            self.made.add(name)
+
+    def _merges(self) -> dict:
+        ranks = self.ranks
+        pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        return {name: pa.array(x, pa.int32()) for name, x in zip(("a", "b", "rank"), zip(*pairs, strict=True), strict=True)}
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of words, all by one recursive query."""
+        self._once("merges", self._merges)
         data = [w.encode() for w in new]
         size = np.fromiter(map(len, data), np.int64, len(data))
         word = np.repeat(np.arange(len(data)), size)
@@ -90,31 +98,56 @@ class Coder:
         ids = self.single[np.frombuffer(b"".join(data), np.uint8)]
         self._table("fresh", {"word": word.astype(np.int32), "pos": pos.astype(np.int32), "id": ids})
         found = self.db.execute(_ENCODE).fetchnumpy()
-        cuts = np.searchsorted(found["word"], np.arange(len(data) + 1))
-        each = np.asarray(found["id"]).astype("<u4")
-        for i, w in enumerate(new):
-            self.at[w] = len(self.ids)
-            self.ids.append(each[cuts[i] : cuts[i + 1]].copy())
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cuts = np.searchsorted(found["word"], np.arange(len(data) + 1)) * 4
+        each = np.asarray(found["id"]).astype("<u4").tobytes()
+        return {w: each[cuts[i] : cuts[i + 1]] for i, w in enumerate(new)}
+
+    def _units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """bounds, codes, distinct units: texts cut before single spaces, which no match crosses from the left.  A text with
+        a unit that is empty or ends in white space, where a match may go on, is one unit."""
+        parts = pc.split_pattern(texts, " ")
+        flat = parts.flatten()
+        size = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(size)
+        coded = flat.dictionary_encode()
+        codes, own = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        open_end = np.fromiter((not u or u[-1].isspace() for u in own), bool, len(own))[codes]
+        open_end[ends - 1] = False
+        row = np.repeat(np.arange(len(texts)), size)
+        whole = np.bincount(row[open_end], minlength=len(texts)) > 0
+        first = np.zeros(len(codes), bool)
+        first[ends - size] = True
+        codes = codes * 2 + ~first  # odd: a space stands before it
+        keep = ~whole[row] | first
+        extra = np.flatnonzero(whole)
+        codes[(ends - size)[extra]] = 2 * len(own) + 2 * np.arange(len(extra))
+        used, codes = np.unique(codes[keep], return_inverse=True)
+        units = [(" " if c & 1 else "") + own[c >> 1] if c < 2 * len(own) else texts[int(extra[(c >> 1) - len(own)])].as_py() for c in used.tolist()]
+        return np.r_[0, np.cumsum(np.where(whole, 1, size))], codes, units
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """bounds, ids: those of text i are ids[bounds[i]:bounds[i + 1]]."""
-        found = [self.find(t) for t in texts]
-        bounds = np.r_[0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]
-        coded = pa.array([w for f in found for w in f], pa.large_string()).dictionary_encode()
-        own, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        if len(self.at) + len(own) > self.keep:
-            self.at, self.ids = {}, []
-        if new := [w for w in own if w not in self.at]:
-            self._learn(new)
-        each = [self.ids[self.at[w]] for w in own]
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        flat, first = (np.concatenate(each) if each else np.empty(0, "<u4")), np.cumsum(size) - size
+        bounds, codes, units = self._units(texts)
+        if missing := [u for u in units if u not in self.at]:
+            found = [self.find(u) for u in missing]
+            fresh = list(dict.fromkeys(w for f in found for w in f if w not in self.words))
+            learned = self._learn(fresh) if fresh else {}
+            ids = {u: b"".join([self.words.get(w) or learned[w] for w in f]) for u, f in zip(missing, found, strict=True)}
+            room = self.keep - len(self.words)
+            self.words.update(list(learned.items())[: max(0, room)])  # the frequent ones come early and stay
+            self.at.update((u, ids[u]) for u in missing[: max(0, self.keep - len(self.at))] if len(u) < 200)
+        else:
+            ids = {}
+        each = [self.at.get(u) or ids.get(u, b"") for u in units]
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat, first = np.frombuffer(b"".join(each), "<u4"), np.cumsum(size) - size
         n = size[codes]
         ends = np.r_[0, np.cumsum(n)]
-        return ends[bounds], flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - first[codes], n)].astype("<u4")
+        return ends[bounds], flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - first[codes], n)]
 
     def decode(self, bounds: np.ndarray, ids: np.ndarray) -> list[bytes]:
         """The bytes behind the ids of each text."""
+        self._once("vocabulary", lambda: {"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         self._table("ids", {"doc": doc.astype(np.int32), "pos": np.arange(len(ids), dtype=np.int64), "id": ids.astype(np.int32)})
         out = [b""] * (len(bounds) - 1)
@@ -136,7 +169,7 @@ def encode_bpe(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_i
         own = coder(path, pattern)
         for batch in batches:
             for part in T.slices(batch, "text"):
-                bounds, ids = own.encode(T.column(part, "text").to_pylist())
+                bounds, ids = own.encode(T.column(part, "text"))
                 data = ids.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array([data[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["doc_id", "n_tokens", "ids"]

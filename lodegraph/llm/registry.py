@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_topk, media_columns, minhash_near_dedup, packing, secret_scans, substring_dedup, toxicity
+from . import byte_bpe, exact_topk, html_extraction, media_columns, minhash_near_dedup, packing, secret_scans, substring_dedup, toxicity
 
 _MODULES = {
     "op1_substring_dedup": substring_dedup,
@@ -10,6 +10,8 @@ _MODULES = {
     "op3_packing": packing,
     "op4_secret_scans": secret_scans,
     "op5_toxicity": toxicity,
+    "op6_html_extraction": html_extraction,
+    "op7_byte_bpe": byte_bpe,
     "op8_minhash_near_dedup": minhash_near_dedup,
     "op9_exact_topk": exact_topk,
 }

@@ -20,22 +20,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import _text as T
 
 BITS = 20
-MAX_ROWS, MAX_BYTES, EPOCHS = 12_000, 96 << 20, 3
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.0, 1.0
+MAX_ROWS, MAX_BYTES, EPOCHS = 12_000, 96 << 20, 6
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 8.0, 0.0
 REJECT = 0.7
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """bounds, coordinates: those of text i, with repeats, are coordinates[bounds[i]:bounds[i + 1]].  Pairs do not cross
     texts; a text of n words has n + (n - 1) + (n - 2) features."""
     bounds, codes, vocabulary = T.words(pc.ascii_lower(texts))
-    own = pc.utf8_trim(vocabulary, _PUNCTUATION) if len(vocabulary) else vocabulary
-    x = T.hashes(own)[codes]
+    x = T.hash_bytes([w.strip(_PUNCTUATION) for w in T.raw(vocabulary)])[codes]
     row = np.repeat(np.arange(len(texts)), np.diff(bounds))
     parts, rows = [T.mix(x)], [row]
     for gap in (1, 2):
@@ -125,7 +125,7 @@ def score_toxicity(docs: DataFrame, model, bits: int = BITS, text_column: str =
     """The table with a score from 0 to 1 a row; all rows and columns stay (a column of that name is replaced)."""
     score = scorer(model, bits)
     own = docs.drop(name)
-    schema = own.schema.add(name, "double")
+    schema = StructType([*own.schema.fields, StructField(name, DoubleType())])
 
     def run(batches):
         for batch in batches:
