@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_topk, html_extraction, media_columns, minhash_near_dedup, packing, secret_scans, substring_dedup, toxicity
+from . import byte_bpe, exact_topk, html_extraction, license_scans, media_columns, minhash_near_dedup, packing, secret_scans, substring_dedup, toxicity
 
 _MODULES = {
     "op1_substring_dedup": substring_dedup,
@@ -14,6 +14,7 @@ _MODULES = {
     "op7_byte_bpe": byte_bpe,
     "op8_minhash_near_dedup": minhash_near_dedup,
     "op9_exact_topk": exact_topk,
+    "op10_license_scans": license_scans,
 }
 
 
