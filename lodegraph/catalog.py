@@ -1,11 +1,15 @@
-"""All registered queries of the reference's workload and their SQL."""
+"""All registered queries of the code-graph workload, each with the same result in DuckDB's SQL."""
 
 from __future__ import annotations
 
+from .plans import queries_changes, queries_graph, queries_rules, queries_search
+
+_MODULES = (queries_graph, queries_changes, queries_search, queries_rules)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in _MODULES for name, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
