@@ -17,7 +17,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -34,7 +33,7 @@ _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """bounds, coordinates: those of text i, with repeats, are coordinates[bounds[i]:bounds[i + 1]].  Pairs do not cross
     texts; a text of n words has n + (n - 1) + (n - 2) features."""
-    bounds, codes, vocabulary = T.words(pc.ascii_lower(texts))
+    bounds, codes, vocabulary = T.words(T.lower(texts))
     x = T.hash_bytes([w.strip(_PUNCTUATION) for w in T.raw(vocabulary)])[codes]
     row = np.repeat(np.arange(len(texts)), np.diff(bounds))
     parts, rows = [T.mix(x)], [row]
