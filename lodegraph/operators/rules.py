@@ -81,9 +81,9 @@ def contract_violations(contracts: DataFrame, reach: DataFrame) -> DataFrame:
 
 def naming(results: DataFrame) -> DataFrame:
     """query_id, verb, share: the commonest leading word of the names of a query's results, from a share of 0.6."""
-    own = results.withColumn("verb", F.regexp_extract(F.lower(names.last_segment("name")), "^_*([a-z]+)", 1)).filter("verb <> ''")
+    own = results.withColumn("verb", F.regexp_extract(F.lower(names.last_segment("name")), "^_*([a-z]+)", 1))
     by = own.groupBy("query_id", "verb").agg(F.count(F.lit(1)).alias("n"))
-    top = by.groupBy("query_id").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("k"), "verb")).alias("m"))
+    top = by.groupBy("query_id").agg(F.sum("n").alias("total"), F.min(F.when(F.col("verb") != "", F.struct((-F.col("n")).alias("k"), "verb"))).alias("m"))
     return top.select("query_id", F.col("m.verb").alias("verb"), F.round(-F.col("m.k") / F.col("total"), 4).alias("share")).filter("share >= 0.6")
 
 
@@ -102,7 +102,21 @@ def design_patterns(methods: DataFrame, inherits: DataFrame) -> DataFrame:
     strategy = shapes.join(subs, "class_id").filter("n_abstract between 1 and 3 and n_subs >= 2").select("class_id", F.lit("strategy").alias("pattern"), F.lit(0.78).alias("confidence"))
     parts = own.filter(F.col("body").rlike(r"self\.(_?children|_?components|_?items)\b")).groupBy("class_id").agg(F.max(F.col("method").rlike("^add")).alias("adds"), F.max(F.col("method").rlike("^remove")).alias("removes"))
     composite = parts.filter("adds and removes").select("class_id", F.lit("composite").alias("pattern"), F.lit(0.80).alias("confidence"))
+    makes = own.filter(F.col("method").rlike("^(create|make|build)_?")).groupBy("class_id").agg(F.max("is_abstract").alias("abstract"), F.count_if("is_abstract").alias("n"))
+    factory = makes.filter("abstract and n = 1").select("class_id", F.lit("factory_method").alias("pattern"), F.lit(0.90).alias("confidence"))
+    abstract = makes.filter("n >= 2").select("class_id", F.lit("abstract_factory").alias("pattern"), F.lit(0.88).alias("confidence"))
+    visitor = own.filter(F.col("method").rlike("^visit_")).groupBy("class_id").agg(F.count_distinct("method").alias("n")).filter("n >= 2").select("class_id", F.lit("visitor").alias("pattern"), F.lit(0.90).alias("confidence"))
+    chain = own.filter(F.col("body").rlike(r"self\.(_?next|_?successor|_?next_handler)\b")).filter(F.contains("body", F.concat(F.lit("."), F.col("method"), F.lit("(")))).select("class_id", F.lit("chain_of_responsibility").alias("pattern"), F.lit(0.85).alias("confidence")).distinct()
+    wraps = own.filter(F.col("body").rlike(r"self\.(_?wrapped|_?component|_?inner|_?delegate)\.")).select("class_id").distinct().join(inherits.select(F.col("sub").alias("class_id"), "base"), "class_id").select("class_id", F.lit("decorator").alias("pattern"), F.lit(0.82).alias("confidence")).distinct()
     out = single
-    for x in (observer, template, strategy, composite):
+    for x in (observer, template, strategy, composite, factory, abstract, visitor, chain, wraps):
         out = out.unionByName(x)
     return out
+
+
+def missing_visits(methods: DataFrame, elements: DataFrame) -> DataFrame:
+    """class_id, element: what a visitor does not visit.  elements: element, a bounded set of names; methods: class_id, method."""
+    visitors = methods.filter(F.col("method").rlike("^visit_")).select("class_id").distinct()
+    wanted = visitors.crossJoin(F.broadcast(elements.select("element").distinct()))
+    done = methods.select("class_id", F.regexp_extract("method", "^visit_(.+)$", 1).alias("element")).distinct()
+    return wanted.join(done, ["class_id", "element"], "left_anti")

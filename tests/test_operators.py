@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodegraph.functions import names
-from lodegraph.operators import architecture, changes, diffs, graph, health, rules
+from lodegraph.operators import architecture, changes, diffs, graph, health, rules, validation
 
 
 def rows(df):
@@ -115,3 +115,23 @@ def test_concentration(spark):
     results = spark.createDataFrame([(1, "m")] * 6 + [(1, "n")] * 2 + [(2, "m")] * 5 + [(2, "n")] * 5 + [(3, "k")], "query_id int, module string")
     assert rows(architecture.concentration(results).select("query_id", "fires")) == [(1, True), (2, False), (3, True)]
     assert architecture.concentration(results.filter(F.lit(False))).count() == 0
+
+
+def test_more_patterns(spark):
+    methods = spark.createDataFrame(
+        [("F", "create_x", "raise NotImplementedError", []), ("A", "make_a", "x", ["abstractmethod"]), ("A", "make_b", "x", ["abstractmethod"]), ("V", "visit_a", "x", []), ("V", "visit_b", "x", []), ("C", "handle", "self.next.handle(r)", []), ("D", "run", "return self._wrapped.run()", [])],
+        "class_id string, method string, body string, decorators array<string>",
+    )
+    inherits = spark.createDataFrame([("D", "Base")], "sub string, base string")
+    got = {(r.class_id, r.pattern) for r in rules.design_patterns(methods, inherits).collect()}
+    assert got == {("F", "factory_method"), ("A", "abstract_factory"), ("V", "visitor"), ("C", "chain_of_responsibility"), ("D", "decorator")}
+    elements = spark.createDataFrame([("a",), ("b",), ("c",)], "element string")
+    assert rows(rules.missing_visits(methods, elements)) == [("V", "c")]
+
+
+def test_conformance(spark):
+    existing = spark.createDataFrame([("m", f"get_{i}", 1, "precise") for i in range(8)] + [("m", "put_x", 1, "precise"), ("g", "a_b", 0, "generic")], "module string, name string, is_async int, structural_layer string")
+    drafts = spark.createDataFrame(
+        [(1, "m", "get_ok", 1, "pass"), (2, "m", "fetch_it", 0, "    for x in y:\n        db.fetch(x)"), (3, "g", "anything", 1, "    a = await f()\n    b = await g()"), (4, "new", "z", 0, "")], "draft_id int, module string, name string, is_async int, body string"
+    )
+    assert rows(validation.conformance(drafts, existing)) == [(1, 0, 1.0), (2, 3, 0.35), (3, 2, 0.6), (4, 0, 1.0)]
