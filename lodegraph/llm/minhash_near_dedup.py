@@ -7,8 +7,9 @@
    the first r - MATCHES + 1 of r, so only that prefix is posted: the long lists are skipped, and collisions are counted on
    the signatures.
 3. Every list links its least class with the others.  Pairs with at least `MATCHES` collisions are confirmed on full sets.
-4. Lists whose classes are still in several components compare the others of different components too, in blocks of
-   bounded size, so that no link that joins components is lost.  Its pairs are confirmed the same way.
+4. Classes of lists that still hold several components meet in blocks of bounded size, with their texts: those of different
+   components that collide often enough are confirmed on the spot, so that no link that joins components is lost and no
+   pair leaves a task unless it is such a link.
 5. Components of the confirmed links name the smallest id that each document reaches.
 
 At a similarity of 0.75 fewer than 28 of 64 coordinates agree with a probability of about 1e-9.  Lists of any length are
@@ -35,13 +36,13 @@ from .components import components, saved
 SHINGLE, PERCENT = 5, 75
 COORDINATES, MATCHES = 64, 28
 #: Most members of a confirming chunk, of a block of a list, and rows of a comparing task.
-CHUNK, BLOCK, TASK_ROWS = 128, 512, 20_000
+CHUNK, BLOCK, TASK_ROWS = 128, 256, 1_000
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, (2, COORDINATES), dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text, words lower-cased (A-Z)."""
-    bounds, codes, vocabulary = T.words(pc.ascii_lower(texts))
+    bounds, codes, vocabulary = T.words(T.lower(texts))
     x = T.hashes(vocabulary)[codes]
     h = T.window_hashes(x, size) if len(x) >= size else np.empty(0, np.uint64)
     out = []
@@ -129,42 +130,60 @@ def _confirm(pairs: DataFrame, own: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.groupBy("a", "chunk").applyInArrow(run, "a long, b long")
 
 
-def _compared(blocks: DataFrame) -> DataFrame:
-    """blocks: task, list, side, node, label, n_shingles, signature.  The pairs a < b of each list of a task, of different
-    labels, of sides 0 and 1 or both 2, that agree in signature and size."""
+def _joining(blocks: DataFrame) -> DataFrame:
+    """blocks: task, list, side, node, label, digest, n_shingles, signature, text.  Confirmed links a, b between the nodes of
+    each list of a task, of sides 0 and 1 or both 2, that join labels which the task has not joined yet."""
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["list"].to_numpy(), kind="stable")
-        name, side, node, label, n = (table[c].to_numpy()[order] for c in ("list", "side", "node", "label", "n_shingles"))
-        signed = np.array(table["signature"].combine_chunks().flatten().to_numpy()).reshape(-1, COORDINATES)[order]
+        table = table.take(pc.sort_indices(table, [("list", "ascending"), ("node", "ascending")]))
+        name, side, node, label, n = (table[c].to_numpy() for c in ("list", "side", "node", "label", "n_shingles"))
+        signed = table["signature"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+        sets = shingle_sets(T.column(table, "text"))
+        for k, d in enumerate(table["digest"].to_pylist()):
+            sets[k] = sets[k] if len(sets[k]) and _digest(sets[k]) == d else None  # the text of another row of that id
         cut = np.flatnonzero(np.r_[True, name[1:] != name[:-1], True])
-        found: set = set()
+        found = []
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            own = label[lo:hi].copy()
             for i in range(lo, hi):
-                j = np.arange(lo, hi)
-                j = j[(label[j] != label[i]) & (node[j] > node[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i])) & ((side[j] != side[i]) | (side[j] == 2))]
-                if len(j):
-                    j = j[(signed[j] == signed[i]).sum(axis=1) >= MATCHES]
-                    found.update(zip([int(node[i])] * len(j), node[j].tolist(), strict=True))
+                if sets[i] is None:
+                    continue
+                j = np.arange(i + 1, hi)
+                j = j[(own[j - lo] != own[i - lo]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i])) & ((side[j] != side[i]) | (side[j] == 2))]
+                for k in j[(signed[j] == signed[i]).sum(axis=1) >= MATCHES].tolist():
+                    if own[k - lo] != own[i - lo] and sets[k] is not None and similar(sets[i], sets[k]):
+                        found.append((int(node[i]), int(node[k])))
+                        own[own == own[k - lo]] = own[i - lo]
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return blocks.groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def _rest(postings: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of different components in lists that still have several; the list's leader has met all of them already."""
+def _rest(postings: DataFrame, labels: DataFrame, own: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links that join components, from the lists that still have several.  Classes that such lists connect make a cluster;
+    its blocks meet pair by pair with their texts, so each pair is looked at once and only links come out."""
     named = postings.join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label"))
     mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).filter("low < high and n > 2")
-    rows = named.join(mixed, "token").filter("node <> leader").withColumn("parts", F.expr(f"cast(ceil(n / {BLOCK}) as int)"))
-    rows = rows.withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    rows = rows.select(
-        "node", "label", F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("list"), F.expr("case when part = other then 2 when part < other then 0 else 1 end").alias("side")
-    )
-    rows = saved(rows)
-    tasks = max(1, -(-rows.count() // TASK_ROWS))
-    blocks = rows.join(classes.select("node", "n_shingles", "signature"), "node").withColumn("task", F.pmod("list", F.lit(tasks)))
-    return _compared(blocks).distinct()
+    rows = saved(named.join(mixed, "token").select("node", "label", "leader").distinct())
+    clusters = saved(components(rows, "leader", "node").withColumnRenamed("component", "cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("parts"))
+    members = rows.select("node", "label").distinct().join(clusters, "node").join(sizes, "cluster")
+    members = members.withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    members = saved(members.select("node", "label", F.xxhash64("cluster", F.least("part", "other"), F.greatest("part", "other")).alias("list"), F.expr("case when part = other then 2 when part < other then 0 else 1 end").alias("side")))
+    tasks = max(1, -(-members.count() // TASK_ROWS))
+    blocks = members.join(classes, "node").join(own.select(F.col("doc_id").alias("node"), "text"), "node").withColumn("task", F.pmod("list", F.lit(tasks)))
+    return _joining(blocks)
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component after more links."""
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    every = saved(labels.unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))))
+    named = lambda x: every.select(F.col("node").alias(x), F.col("component").alias(f"l_{x}"))
+    bridges = links.join(named("a"), "a").join(named("b"), "b").select(F.col("l_a").alias("a"), F.col("l_b").alias("b"))
+    joined = components(bridges).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return saved(every.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component")))
 
 
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -177,12 +196,8 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     stars = postings.join(leaders, "token").filter("a < node").select("a", F.col("node").alias("b")).distinct()
     first = saved(_confirm(saved(_agreeing(stars, classes)), own, classes))
     labels = saved(components(first))
-    pairs = saved(_rest(postings, labels, classes))
-    second = _confirm(pairs, own, classes) if not pairs.isEmpty() else first.limit(0)
-    named = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"l_{x}"))
-    bridges = second.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
-    joined = components(bridges).select(F.col("node").alias("label"), F.col("component").alias("least"))
-    ends = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("label")).join(joined, "label", "left").select("digest", F.coalesce("least", "label").alias("component"))
+    labels = _merged(labels, saved(_rest(postings, labels, own, classes)))
+    ends = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(ends, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
