@@ -194,8 +194,15 @@ def _joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+def _count(kind: str):
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def digests(found: DataFrame) -> DataFrame:
+    """Counts by kind, and the joined spans of a scan."""
     base = F.filter("spans", lambda s: s["kind"] != "markov")
-    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined("spans" and F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(_count, KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    return digests(scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")))
