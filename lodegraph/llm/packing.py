@@ -16,6 +16,7 @@ is its own document); an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,36 +36,43 @@ class WordIds:
     """Ids by a word-level vocabulary file: no piece of this tokenizer crosses white space, so each distinct word is encoded
     once and kept."""
 
-    KEEP = 400_000
+    #: Words that a process keeps: those that it met first, so the frequent ones.
+    KEEP = 300_000
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.at: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """bounds, ids: those of text i are ids[bounds[i]:bounds[i + 1]]."""
         bounds, codes, vocabulary = T.words(texts)
         own = vocabulary.to_pylist()
-        if len(self.at) + len(own) > self.KEEP:
-            self.at, self.ids = {}, []
-        if new := [w for w in own if w not in self.at]:
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.at[w] = len(self.ids)
-                self.ids.append(np.array(e.ids, "<u4"))
-        each = [self.ids[self.at[w]] for w in own]
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        flat, first = (np.concatenate(each) if each else np.empty(0, "<u4")), np.r_[0, np.cumsum(size)][:-1]
+        known = self.known
+        each = [known.get(w) for w in own]
+        new = [k for k, e in enumerate(each) if e is None]
+        for at in range(0, len(new), 500):  # one text of many words is encoded faster than many texts
+            part = [own[k] for k in new[at : at + 500]]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, starts = array("I", found.ids).tobytes(), np.cumsum([0, *(len(w) + 1 for w in part)])
+            cut = (4 * np.searchsorted(np.fromiter((o[0] for o in found.offsets), np.int64, len(ids) // 4), starts)).tolist()
+            for k, a, b in zip(new[at : at + 500], cut[:-1], cut[1:], strict=True):
+                each[k] = ids[a:b]
+        known.update((own[k], each[k]) for k in new[: self.KEEP - len(known)])
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat, first = np.frombuffer(b"".join(each), "<u4"), np.cumsum(size) - size
         n = size[codes]
         ends = np.r_[0, np.cumsum(n)]
-        take = np.arange(ends[-1]) - np.repeat(ends[:-1] - first[codes], n)
-        ids, cut = flat[take], ends[bounds]
+        ids = flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - first[codes], n)]
+        cut = ends[bounds]
         if end_id is not None:
             ids, cut = np.insert(ids, cut[1:], np.uint32(end_id)), cut + np.arange(len(cut))
-        return cut, ids.astype("<u4")
+        return cut, ids
 
 
 def encoder(path: str) -> WordIds:
