@@ -88,12 +88,15 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _A + b * _B)
 
 
-def window_hashes(x: np.ndarray, length: int) -> np.ndarray:
-    """Names of all windows of `length` items, by doubling: a window is named by the two halves that cover it."""
+def window_hashes(x: np.ndarray, length: int, known: dict | None = None) -> np.ndarray:
+    """Names of all windows of `length` items, by doubling: a window is named by the two halves that cover it.  known: names
+    of shorter windows by length, to go on from."""
     if length == 1:
         return x
+    if known and length in known:
+        return known[length]
     half = (length + 1) // 2
-    h = window_hashes(x, half)
+    h = window_hashes(x, half, known)
     return pair(h[: len(h) - (length - half)], h[length - half :]) if len(x) >= length else np.empty(0, np.uint64)
 
 

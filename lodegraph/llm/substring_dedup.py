@@ -40,12 +40,15 @@ class _Block:
     def __init__(self, table: pa.Table, window: int):
         self.texts, self.window = T.column(table, "text"), window
         self.bounds, self.codes, self.vocabulary = T.words(self.texts)
-        self.own = T.raw(self.vocabulary)
+        self.known: dict[int, np.ndarray] = {}
         ends = np.repeat(self.bounds[1:], np.diff(self.bounds))
         self.starts = np.flatnonzero(np.arange(len(ends)) + window <= ends)
 
     def names(self, length: int, seed: int = 0) -> np.ndarray:
-        return T.window_hashes(T.hashes(self.vocabulary, seed)[self.codes], length)
+        found = T.window_hashes(T.hashes(self.vocabulary, seed)[self.codes], length, None if seed else self.known)
+        if not seed:
+            self.known = {length: found}
+        return found
 
     def stands(self, names: np.ndarray, length: int, starts: np.ndarray) -> np.ndarray:
         """For each window start the position whose shorter window stands for it."""
@@ -56,9 +59,14 @@ class _Block:
 
 
 def _send(block: _Block, number: int, names: np.ndarray, at: np.ndarray, extra: np.ndarray | None) -> pa.Table:
-    at = np.unique(at)
-    keys, first, n = np.unique(names[at], return_index=True, return_counts=True)
-    tag = np.uint64(number << 1) | (n > 1).astype(np.uint64)
+    chosen = np.zeros(len(names), bool)
+    chosen[at] = True
+    at = np.flatnonzero(chosen)
+    at = at[np.argsort(names[at])]
+    keys = names[at]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    n = np.diff(np.r_[first, len(keys)])
+    keys, tag = keys[first], np.uint64(number << 1) | (n > 1).astype(np.uint64)
     if extra is not None:
         tag |= extra[at[first]] << np.uint64(32)
     return pa.table({"h": keys.view(np.int64), "tag": tag.view(np.int64)})
@@ -98,14 +106,14 @@ def _cut(window: int):
             for step in (0, 1):  # two names that agree in 64 bits differ in the other 32
                 j = np.minimum(i + step, len(h) - 1)
                 hit |= (h[j] == keys) & (x[j] == extra)
-            np.add.at(gone, b.starts[hit], 1)
-            np.add.at(gone, b.starts[hit] + window, -1)
+            gone[b.starts[hit]] += 1  # starts are distinct
+            gone[b.starts[hit] + window] -= 1
         covered = np.cumsum(gone)[:-1] > 0
         removed = np.diff(np.r_[0, np.cumsum(covered)][b.bounds])
-        kept = []
+        own, kept = T.raw(b.vocabulary), []
         for i, n in enumerate(removed):
             codes = b.codes[b.bounds[i] : b.bounds[i + 1]]
-            kept.append(b" ".join(map(b.own.__getitem__, (codes[~covered[b.bounds[i] : b.bounds[i + 1]]] if n else codes).tolist())))
+            kept.append(b" ".join(map(own.__getitem__, (codes[~covered[b.bounds[i] : b.bounds[i + 1]]] if n else codes).tolist())))
         return pa.table({"doc_id": docs["doc_id"].combine_chunks(), "n_words": np.diff(b.bounds), "n_removed": removed.astype(np.int64), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
 
     return lambda left, right: run(left, right)
