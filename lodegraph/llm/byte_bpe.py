@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with DuckDB's recursive queries in each partition.
 
 A word (a match of the pattern) becomes rows of token and position, one a byte.  The recursive query joins neighbours with
-the merge table and contracts each word's pair of least rank, the leftmost one and with it further disjoint ones of the same
-pair, until no neighbours merge.  Distinct words of a slice that this process does not hold are encoded in one query; the
+the merge table and contracts each word's pair of least rank, leftmost first (disjoint ones of the same pair in the same
+round), until no neighbours merge.  Distinct words of a slice that this process does not hold are encoded in one query; the
 words it met first, up to `KEEP`, are kept.  Decoding joins the ids of each text with the vocabulary and aggregates the bytes in
 the order of their positions.
 
@@ -25,34 +25,52 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 
-KEEP = 400_000
+#: Most words and units that a process keeps, bytes of text in a slice, and the database's memory.
+KEEP, SLICE, MEMORY = 200_000, 2 << 20, "300MB"
 _coders: dict = {}
 
 #: State of a word: its tokens by position, `best` the least rank among its pairs (null: done).  Rows of done words stay in
-#: the result; the others go round.  A pair that overlaps the one before it (only where both tokens are equal) is skipped
-#: by its odd or even place in the run.
-_ENCODE = """
+#: the result; the others go round.  `hit` marks pairs of that rank; {taken} says which of them a round contracts.
+_ROUNDS = """
 with recursive state as (
-  select word, pos, id, nxt, rank, min(rank) over (partition by word) as best
-  from (select t.word, t.pos, t.id, t.nxt, m.rank
+  select word, pos, id, rank, min(rank) over (partition by word) as best
+  from (select t.word, t.pos, t.id, m.rank
         from (select word, pos, id, lead(id) over (partition by word order by pos) as nxt from fresh) t
         left join merges m on m.a = t.id and m.b = t.nxt)
   union all
-  select word, pos, id, nxt, rank, min(rank) over (partition by word) as best
-  from (select t.word, t.pos, t.id, t.nxt, m.rank
-        from (select word, pos, id, lead(id) over (partition by word order by pos) as nxt
-              from (select word, pos, case when taken then best else id end as id,
-                           coalesce(lag(taken) over (partition by word order by pos), false) as swallowed
-                    from (select *, coalesce(hit and (place - coalesce(max(case when not hit then place end) over (
-                                   partition by word order by pos rows between unbounded preceding and current row), 0)) % 2 = 1, false) as taken
-                          from (select *, coalesce(rank = best, false) as hit, row_number() over (partition by word order by pos) as place
-                                from state where best is not null)))
-              where not swallowed) t
-        left join merges m on m.a = t.id and m.b = t.nxt)
+  select word, pos, id, rank, min(rank) over (partition by word) as best
+  from (select t.word, t.pos, t.id, m.rank from ({contracted}) t left join merges m on m.a = t.id and m.b = t.nxt)
 )
 select word, id from state where best is null order by word, pos
 """
 
+#: Of pairs that overlap (their tokens are equal) the leftmost.  One window pass: a row's new right neighbour is the next row,
+#: or the one after it if the row takes the next one in.
+_ENCODE = _ROUNDS.format(
+    contracted="""
+select word, pos, case when taken then best else id end as id,
+  case when taken then case when h2 and not h1 then best else i2 end when h1 and not hit then best else i1 end as nxt
+from (select *, hit and not before as taken, before and not before2 as swallowed
+      from (select word, pos, id, best, hit, coalesce(lag(hit, 1) over w, false) as before, coalesce(lag(hit, 2) over w, false) as before2,
+              coalesce(lead(hit, 1) over w, false) as h1, coalesce(lead(hit, 2) over w, false) as h2, lead(id, 1) over w as i1, lead(id, 2) over w as i2
+            from (select word, pos, id, best, coalesce(rank = best, false) as hit from state where best is not null)
+            window w as (partition by word order by pos)))
+where not swallowed"""
+)
+
+#: For long words every second pair of a run of overlapping ones goes in the same round, so a run takes few rounds.
+_ENCODE_LONG = _ROUNDS.format(
+    contracted="""
+select word, pos, id, lead(id) over (partition by word order by pos) as nxt
+from (select word, pos, case when taken then best else id end as id, coalesce(lag(taken) over (partition by word order by pos), false) as swallowed
+      from (select *, hit and (place - coalesce(max(case when not hit then place end) over (
+                     partition by word order by pos rows between unbounded preceding and current row), 0)) % 2 = 1 as taken
+            from (select *, coalesce(rank = best, false) as hit, row_number() over (partition by word order by pos) as place
+                  from state where best is not null)))
+where not swallowed"""
+)
+LONG = 64
+
 _DECODE = """
 select i.doc, string_agg(v.hex, '' order by i.pos) as hex from ids i join vocabulary v on v.id = i.id group by i.doc
 """
@@ -67,7 +85,7 @@ class Coder:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.find, self.keep = regex.compile(pattern).findall, keep
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.made: set[str] = set()
         self.words: dict[str, bytes] = {}
@@ -89,15 +107,20 @@ class Coder:
         return {name: pa.array(x, pa.int32()) for name, x in zip(("a", "b", "rank"), zip(*pairs, strict=True), strict=True)}
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of words, all by one recursive query."""
+        """Ids of words, all by one recursive query, long words by another."""
         self._once("merges", self._merges)
+        long = [w for w in new if len(w) > LONG]
+        short = [w for w in new if len(w) <= LONG] if long else new
+        return (self._contract(short, _ENCODE) if short else {}) | (self._contract(long, _ENCODE_LONG) if long else {})
+
+    def _contract(self, new: list[str], query: str) -> dict[str, bytes]:
         data = [w.encode() for w in new]
         size = np.fromiter(map(len, data), np.int64, len(data))
         word = np.repeat(np.arange(len(data)), size)
         pos = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
         ids = self.single[np.frombuffer(b"".join(data), np.uint8)]
         self._table("fresh", {"word": word.astype(np.int32), "pos": pos.astype(np.int32), "id": ids})
-        found = self.db.execute(_ENCODE).fetchnumpy()
+        found = self.db.execute(query).fetchnumpy()
         cuts = np.searchsorted(found["word"], np.arange(len(data) + 1)) * 4
         each = np.asarray(found["id"]).astype("<u4").tobytes()
         return {w: each[cuts[i] : cuts[i + 1]] for i, w in enumerate(new)}
@@ -162,20 +185,22 @@ def coder(path: str, pattern: str) -> Coder:
     return _coders[path, pattern]
 
 
-def encode_bpe(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit) of each row.  path: the rank file on the workers."""
+def encode_bpe(docs: DataFrame, path: str, pattern: str, decode: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit) of each row; with decode also `decoded` (binary), the
+    bytes behind the ids, without a second process.  path: the rank file on the workers."""
 
     def run(batches):
         own = coder(path, pattern)
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", SLICE):
                 bounds, ids = own.encode(T.column(part, "text"))
                 data = ids.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array([data[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["doc_id", "n_tokens", "ids"]
-                )
+                columns = [part.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array([data[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(own.decode(bounds, ids), pa.binary())] * decode, names)
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    names = ["doc_id", "n_tokens", "ids"] + ["decoded"] * decode
+    own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    return own.mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decode)
 
 
 def decode_bpe(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -184,7 +209,7 @@ def decode_bpe(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         own = coder(path, pattern)
         for batch in batches:
-            for part in T.slices(batch, "ids"):
+            for part in T.slices(batch, "ids", 2 * SLICE):
                 data = pc.fill_null(part.column("ids"), b"").to_pylist()
                 bounds = np.r_[0, np.cumsum(np.fromiter(map(len, data), np.int64, len(data)) // 4)]
                 decoded = own.decode(bounds, np.frombuffer(b"".join(data), "<u4"))
@@ -197,5 +222,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     files = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
-    encoded = encode_bpe(spark.read.parquet(f"{sf_dir}/documents.parquet"), *files)
-    return decode_bpe(encoded, *files).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = encode_bpe(spark.read.parquet(f"{sf_dir}/documents.parquet"), *files, decode=True)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
