@@ -71,39 +71,51 @@ def best(q_ids, q, v_ids, v, k: int, levels=LEVELS):
     return out
 
 
-def _blocks(rows: DataFrame, size: int | None, name: str) -> DataFrame:
-    """One row a block of about `size` vectors of one dimension: dim, ids and vectors as bytes, and a number, without a
-    size that of the partition.  A partition of the input makes its own blocks, so nothing is shuffled to gather them."""
+def _numbers(vectors: pa.Array, dim: int) -> np.ndarray:
+    return np.floor(vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) * SCALE).astype(np.int64)
+
+
+def _row_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """v, dim, v_ids, v_vectors: one row a block of about `size` vectors of one dimension.  A partition of the input makes its
+    own blocks, so nothing is shuffled to gather them."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        number, made = TaskContext.get().partitionId(), 0
+        number = TaskContext.get().partitionId() << 24
         held: dict[int, list] = {}
 
         def block(dim):
-            nonlocal made
+            nonlocal number
             ids, vectors = zip(*held.pop(dim), strict=True)
-            made += 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number if size is None else (number << 24) + made - 1], pa.int64()), pa.array([dim], pa.int32()), pa.array([np.concatenate(ids).tobytes()]), pa.array([np.concatenate(vectors).astype(np.int64).tobytes()])], [name, "dim", f"{name}_ids", f"{name}_vectors"]
-            )
+            number += 1
+            data = [np.concatenate(x).tobytes() for x in (ids, vectors)]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([dim], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], ["v", "dim", "v_ids", "v_vectors"])
 
         for batch in batches:
-            sizes = batch.column("n").to_numpy(zero_copy_only=False)
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            sizes, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "id"))
             for dim in np.unique(sizes):
                 at = np.flatnonzero(sizes == dim)
-                x = np.floor(batch.column("v").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim) * SCALE)
-                step = size or len(at)
-                for a in range(0, len(at), step):
-                    held.setdefault(dim, []).append((ids[at[a : a + step]].astype(np.int64), x[a : a + step]))
-                    if size and sum(len(i) for i, _ in held[dim]) >= size:
+                x = _numbers(batch.column("x").take(pa.array(at)), dim)
+                for a in range(0, len(at), size):
+                    held.setdefault(dim, []).append((ids[at[a : a + size]].astype(np.int64), x[a : a + size]))
+                    if sum(len(i) for i, _ in held[dim]) >= size:
                         yield block(dim)
         for dim in list(held):
             yield block(dim)
 
-    return rows.mapInArrow(run, f"{name} long, dim int, {name}_ids binary, {name}_vectors binary")
+    return rows.mapInArrow(run, "v long, dim int, v_ids binary, v_vectors binary")
+
+
+def _query_blocks(rows: DataFrame, parts: int) -> DataFrame:
+    """q, dim, q_ids, q_vectors: one row a dimension and each of `parts` shares by hash."""
+
+    def run(table: pa.Table) -> pa.Table:
+        dim = table["dim"][0].as_py()
+        x = _numbers(table["x"].combine_chunks(), dim)
+        return pa.table({"q": table["q"].slice(0, 1), "dim": table["dim"].slice(0, 1), "q_ids": pa.array([table["id"].to_numpy().astype(np.int64).tobytes()], pa.binary()), "q_vectors": pa.array([x.tobytes()], pa.binary())})
+
+    return rows.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("q", "dim").applyInArrow(run, "q long, dim int, q_ids binary, q_vectors binary")
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, rows: int = ROWS, block_queries: int = QUERIES, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -111,13 +123,13 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, rows: int = R
     components turned to floor(256 * x)."""
 
     def usable(df: DataFrame) -> DataFrame:
-        own = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).filter("id is not null and v is not null and size(v) > 0")
-        return own.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))).withColumn("n", F.size("v"))
+        own = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("x")).filter("id is not null and x is not null and size(x) > 0")
+        return own.filter(F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))).withColumn("dim", F.size("x"))
 
-    asked = usable(queries).dropDuplicates(["id", "v"])
+    asked = usable(queries).dropDuplicates(["id", "x"])
     parts = max(1, -(-asked.count() // block_queries))
-    q = _blocks(asked.repartition(parts, "id", "v"), None, "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    v = _blocks(usable(vectors), rows, "v").withColumns({"q": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))), "salt": F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")})
+    q = _query_blocks(asked, parts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    v = _row_blocks(usable(vectors), rows).withColumns({"q": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))), "salt": F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")})
 
     def run(batches):
         for batch in batches:
