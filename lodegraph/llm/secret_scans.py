@@ -2,7 +2,8 @@
 
 Two models of character pairs are trained from labelled samples: random strings (label 1) and ordinary identifiers
 (label 0).  A run of token characters whose mean log-likelihood ratio a transition passes a threshold is a secret of kind
-`markov`, unless a pattern has it already.  Without samples of the user's own, `samples()` makes labelled ones by rule.
+`markov`; of a run that does not, the parts between joining characters that do (the key of name=key or path/key).  What a
+pattern has already is cut out before.  Without samples of the user's own, `samples()` makes labelled ones by rule.
 
 Runs are found with numpy over the bytes of a slice of rows, so only runs and the texts that hold a keyword are looked at one
 by one.  No shuffle; the models are a few kB.
@@ -38,6 +39,9 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 RUN, THRESHOLD = 16, 0.55
 _CLASS = np.zeros(256, bool)
 _CLASS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
+#: Characters of runs that join words; parts of a run begin and end at them.
+_JOINS = np.zeros(128, bool)
+_JOINS[list(b"+/_=-")] = True
 
 #: Words from which the rule makes ordinary identifiers.
 ORDINARY = (
@@ -96,18 +100,71 @@ def score(ratio: np.ndarray, run: bytes) -> float:
     return float(ratio[x[:-1], x[1:]].mean())
 
 
+def _free(a: int, b: int, spans) -> list[tuple[int, int]]:
+    """The stretches of a..b that no span covers."""
+    out = []
+    for s, e in sorted((s, e) for _, s, e in spans if s < b and e > a):
+        if s > a:
+            out.append((a, s))
+        a = max(a, e)
+    return [*out, (a, b)] if a < b else out
+
+
+def random_parts(ratio: np.ndarray, run: bytes, threshold: float) -> list[tuple[int, int]]:
+    """The whole run if its mean passes the threshold; or else those of its parts, of RUN characters or more between two of the
+    characters that join words, whose mean does: first the one that passes by the largest sum, then those on either side."""
+    if len(run) < RUN:
+        return []
+    if score(ratio, run) > threshold:
+        return [(0, len(run))]
+    x = _states(run)
+    word = ~_JOINS[x]
+    starts, ends = np.flatnonzero(word & np.r_[True, ~word[:-1]]), np.flatnonzero(word & np.r_[~word[1:], True]) + 1
+    total = np.r_[0.0, np.cumsum(ratio[x[:-1], x[1:]])]  # of the transitions up to each character
+    over = total - threshold * np.arange(len(x))
+    first = ratio[0, x[starts]]  # of the transition from the start state
+    out, todo = [], [(0, len(starts))]
+    while todo:
+        lo, hi = todo.pop()
+        if lo >= hi or ends[hi - 1] - starts[lo] < RUN:
+            continue
+        before = over[starts[lo:hi]] - first[lo:hi] + threshold
+        n = np.searchsorted(starts[lo:hi], ends[lo:hi] - RUN, "right")  # so many starts are far enough before each end
+        sums = np.where(n > 0, over[ends[lo:hi] - 1] - np.minimum.accumulate(before)[n - 1], -np.inf)
+        j = int(sums.argmax())
+        if not sums[j] > 0:
+            continue
+        i, j = lo + int(before[: n[j]].argmin()), lo + j
+        # words beside it that look random belong to it as long as the mean passes; what is before or after = does not
+        mean = lambda i, j: (first[i] + total[ends[j] - 1] - total[starts[i]]) / (ends[j] - starts[i])
+        while i > lo and b"=" not in run[ends[i - 1] : starts[i]] and first[i - 1] + total[starts[i]] - total[starts[i - 1]] > first[i] and mean(i - 1, j) > threshold:
+            i -= 1
+        while j + 1 < hi and b"=" not in run[ends[j] : starts[j + 1]] and total[ends[j + 1] - 1] > total[ends[j] - 1] and mean(i, j + 1) > threshold:
+            j += 1
+        out.append((int(starts[i]), int(ends[j])))
+        todo += [(lo, i), (j + 1, hi)]
+    return out
+
+
 def _spans(text: str, runs: list[tuple[int, int]], ratio: np.ndarray, threshold: float, has_word: bool) -> list[tuple[str, int, int]]:
     """runs: code point spans of long runs of token characters."""
     out = []
     if has_word:
         out += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
+    assigned, at = out[:], 0  # in order, as the runs are
     for a, b in runs:
-        run, known = text[a:b], len(out)
+        run = text[a:b]
         # matches of these two lie within one run of token characters
-        out += [("access", a + m.start(), a + m.end()) for m in ACCESS.finditer(run) if m.end() - m.start() >= LEAST["access"]] if "AKIA" in run else []
-        out += [("hex", a + m.start(), a + m.end()) for m in HEX.finditer(run) if m.end() - m.start() >= LEAST["hex"]]
-        if len(out) == known and not any(s <= a and b <= e for _, s, e in out) and score(ratio, run.encode()) > threshold:
-            out.append(("markov", a, b))
+        known = [("access", a + m.start(), a + m.end()) for m in ACCESS.finditer(run) if m.end() - m.start() >= LEAST["access"]] if "AKIA" in run else []
+        known += [("hex", a + m.start(), a + m.end()) for m in HEX.finditer(run) if m.end() - m.start() >= LEAST["hex"]]
+        out += known
+        while at < len(assigned) and assigned[at][2] <= a:
+            at += 1
+        end = at
+        while end < len(assigned) and assigned[end][1] < b:
+            end += 1
+        for s, e in _free(a, b, known + assigned[at:end]):
+            out += [("markov", s + i, s + j) for i, j in random_parts(ratio, text[s:e].encode(), threshold)]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -135,6 +135,25 @@ def test_markov_separates():
     assert np.mean([j for j, label in judged if label == 0]) < 0.02
 
 
+def test_markov_judges_parts_of_runs(spark):
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    heads = ["DATABASE_ENCRYPTION_PRIVATE_KEY=", "service/account/private/key/", "0123456789abcdef/", "0123456789abcdef=", ""]
+    keys = ["".join(rng.choices(letters, k=rng.randint(20, 40))) for _ in range(200)]
+    # two keys in one run, one on either side of a name
+    texts = [f"é {h}{k} end" for h in heads for k in keys] + [f"{a}/service_account_private_key_of_the_database_connection={b}" for a, b in zip(keys, keys[1:])]
+    masked = [r.text for r in secret_scans.mask_secrets(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    for n in range(len(heads)):
+        assert np.mean([k not in m for k, m in zip(keys, masked[n * 200 : n * 200 + 200])]) > 0.95
+    assert np.mean([a not in m and b not in m for a, b, m in zip(keys, keys[1:], masked[1000:])]) > 0.95
+    assert masked[0] == "é DATABASE_ENCRYPTION_PRIVATE_KEY=<markov> end"
+    ratio = secret_scans.train(secret_scans.samples())
+    plain = [s for s, label in secret_scans.samples(500, seed=99) if label == 0]
+    joined = ["/".join(plain[i : i + 6]) for i in range(0, len(plain), 6)]
+    for group in (plain, joined):
+        assert np.mean([bool(secret_scans.random_parts(ratio, s.encode(), secret_scans.THRESHOLD)) for s in group]) < 0.03
+
+
 def test_mask(spark):
     rows = [(1, 'é token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end', 5), (2, "plain", None), (3, None, 1)]
     out = secret_scans.mask_secrets(spark.createDataFrame(rows, "doc_id long, text string, spans long")).collect()
