@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -288,3 +289,59 @@ def test_licences(spark):
     }
     got = {r.doc_id: ",".join(r.licences) for r in license_scans.scan_licenses(docs_of(spark, [*cases, None])).collect()}
     assert [got[i] for i in range(len(cases) + 1)] == [*cases.values(), "NONE"]
+
+
+COPYING = """Copyright (C) 2020  Jane Doe
+
+This program is free software{a} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{b} either version {n} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program{c}
+"""
+HEADERS = {
+    "GPL-3.0-or-later": COPYING.format(a=":", b=",", n=3, c=".  If not, see <https://www.gnu.org/licenses/>."),
+    "GPL-2.0-or-later": COPYING.format(a=";", b=";", n=2, c="; if not, write to the Free Software\nFoundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+}
+
+
+def test_licence_headers():
+    for licence, text in HEADERS.items():
+        lines = text.split("\n")[:-1]
+        layouts = [text, "".join(f"# {x}".rstrip() + "\n" for x in lines), "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in lines) + " */\n"]
+        layouts.append("\n\n".join(textwrap.fill(p, 16, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n")))
+        for layout in layouts:
+            assert license_scans.scan(layout)[1] == [licence], layout
+    assert license_scans.sentences(HEADERS["GPL-2.0-or-later"]) == ["copyright", "gpl2_free", "gpl_hope", "gpl_details", "gpl_copy", "gpl_not"]
+
+
+@pytest.mark.parametrize("name", license_scans.SENTENCES)
+def test_every_form(name):
+    for form in license_scans.SENTENCES[name]:
+        form = form.replace("{any}", "x")
+        wrapped = textwrap.wrap(form, 20, break_long_words=False, break_on_hyphens=False) if name not in license_scans._LINE else [form]
+        for layout in (form, form.upper() + ".", "\n".join("# " + x for x in wrapped), "Something else\n" + "\n".join(wrapped)):
+            assert [x.split(":")[0] for x in license_scans.sentences(layout)] == [name], layout
+    longest = max(license_scans.SENTENCES[name], key=len)
+    if "{any}" not in longest:  # a word on a line, inside a longer part
+        assert license_scans.sentences("Something else\n" + longest.replace(" ", "\n")) == [name]
