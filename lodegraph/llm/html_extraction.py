@@ -26,7 +26,12 @@ from . import _text as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that show nothing, whatever their style.
-NEVER = frozenset("script style template head title meta link base iframe noembed noframes object audio video canvas svg math datalist".split())
+NEVER = frozenset("script style template head title meta link base iframe noembed noframes object audio video canvas datalist".split())
+#: Elements of embedded drawings and formulas whose text is not shown.
+NEVER_EMBEDDED = {
+    "svg": frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split()),
+    "math": frozenset("annotation annotation-xml".split()),
+}
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table ul xmp caption".split()
 )
@@ -57,15 +62,17 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_NO_DISPLAY, _VISIBILITY = re.compile(r"display\s*:\s*none"), re.compile(r"visibility\s*:\s*(\w+)")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_CSS, _BRACE = re.compile(r"[{};]"), re.compile(r"[{}]")
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    #: embedded: svg or math, for what lies in one
+    __slots__ = ("tag", "attributes", "children", "embedded")
 
-    def __init__(self, tag: str, attributes: dict):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: dict, embedded: str = ""):
+        self.tag, self.attributes, self.children, self.embedded = tag, attributes, [], embedded
 
 
 def parse(html: str) -> Node:
@@ -134,9 +141,10 @@ def parse(html: str) -> Node:
             open_[-1].children.append(row)
             open_.append(row)
             count["tr"] += 1
-        node = Node(tag, attributes)
+        embedded = "svg" if tag == "svg" or count["svg"] else "math" if tag == "math" or count["math"] else ""
+        node = Node(tag, attributes, embedded)
         open_[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or embedded and rest.endswith("/"):
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -232,16 +240,61 @@ class _Table:
         return out
 
 
+def _declared(style: str) -> dict[str, str]:
+    """display and visibility of a list of declarations; the last one counts."""
+    return dict(_DECLARED.findall(_COMMENT.sub(" ", style).lower()))
+
+
+def _on_screens(media: str) -> bool | None:
+    """Whether a list of media holds for every screen; None where that depends on the screen."""
+    kinds = [re.sub(r"^only\s+", "", x.strip()) for x in media.lower().split(",")]
+    if any(x in ("", "all", "screen", "not print", "not speech") for x in kinds):
+        return True
+    return False if all(re.match(r"(?:print|speech|tty|tv|projection|handheld|braille|embossed|aural|not (?:all|screen))\b", x) for x in kinds) else None
+
+
+def _rules(css: str, holds: bool | None = True):
+    """Selectors, declarations, and whether the rule holds on screens (None: on some) of a style sheet.  Rules in blocks that no
+    screen applies are left out."""
+    css, at, begin, blocks = _COMMENT.sub(" ", css), 0, 0, [holds]
+    for m in _CSS.finditer(css):
+        if m.start() < at:
+            continue
+        before = css[begin : m.start()].strip()
+        if m[0] == "{" and before.startswith("@"):
+            name, _, rest = before[1:].lower().partition(" ")
+            name, rest = ("media", name[5:] + rest) if name.startswith("media(") else (name, rest)
+            own = _on_screens(rest) if name == "media" else True if name == "layer" else None if name in ("supports", "container", "scope", "starting-style") or name.startswith(("supports(", "container(")) else False
+            blocks.append(False if own is False or blocks[-1] is False else None if own is None or blocks[-1] is None else True)
+        elif m[0] == "{":
+            close, depth = len(css), 1  # rules may hold rules
+            for brace in _BRACE.finditer(css, m.end()):
+                depth += 1 if brace[0] == "{" else -1
+                if not depth:
+                    close = brace.start()
+                    break
+            if blocks[-1] is not False:
+                yield before, css[m.end() : close], blocks[-1]
+            at = close + 1
+        elif m[0] == "}" and len(blocks) > 1:
+            blocks.pop()
+        begin = max(m.end(), at)
+
+
 def _hidden_by_sheets(root: Node) -> set[str]:
-    """Simple selectors (tag, .class, #id) that the page's style sheets do not display."""
+    """Simple selectors (tag, .class, #id) that the page's style sheets do not display on any screen."""
     out, todo = set(), [root]
     while todo:
         node = todo.pop()
-        if node.tag == "style":
-            for names, body in _RULE.findall("".join(c for c in node.children if isinstance(c, str))):
-                if _NO_DISPLAY.search(body.lower()):
-                    out.update(s.strip() for s in names.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s))
-        todo += [c for c in node.children if not isinstance(c, str)]
+        if node.tag == "style" and (holds := _on_screens(node.attributes.get("media", ""))) is not False:
+            for names, body, always in _rules("".join(c for c in node.children if isinstance(c, str)), holds):
+                display = _declared(body).get("display")
+                simple = {s.strip() for s in names.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s)} if display else set()
+                if display == "none" and always:
+                    out |= simple
+                elif display and display != "none":
+                    out -= simple
+        todo += [c for c in reversed(node.children) if not isinstance(c, str)]
     return out
 
 
@@ -254,8 +307,10 @@ def render(root: Node) -> str:
         a, tag = node.attributes, node.tag
         if tag in NEVER or tag == "input" or "hidden" in a or (tag == "dialog" and "open" not in a):
             return False
-        if a and "style" in a and _NO_DISPLAY.search(a["style"].lower()):
+        if node.embedded and tag in NEVER_EMBEDDED[node.embedded]:
             return False
+        if a and "style" in a and (display := _declared(a["style"]).get("display")):
+            return display != "none"
         return not (sheets and (tag in sheets or ("#" + a.get("id", "")) in sheets or any("." + c in sheets for c in a.get("class", "").split())))
 
     # stack of (node, step): step 0 enters, 1 leaves; seen: visibility; pre: spaces kept
@@ -298,13 +353,13 @@ def render(root: Node) -> str:
                 out.block(2 if tag in APART else 1)
             elif tag == "q":
                 out.text("”")
-            elif tag in BLOCK:
+            elif tag in BLOCK or tag == "text" and node.embedded == "svg":
                 out.block(2 if tag in APART else 1)
             continue
         if not shows(node):
             continue
-        style = _VISIBILITY.search(node.attributes["style"].lower()) if "style" in node.attributes else None
-        seen = style[1] == "visible" if style else seen
+        if "style" in node.attributes and (style := _declared(node.attributes["style"]).get("visibility")):
+            seen = False if style in ("hidden", "collapse") else True if style in ("visible", "initial") else seen
         if tag == "br":
             out.line_break()
             continue
@@ -339,7 +394,7 @@ def render(root: Node) -> str:
             out.indent += 2
         elif tag == "q":
             out.text("“")
-        elif tag in BLOCK:
+        elif tag in BLOCK or tag == "text" and node.embedded == "svg":
             out.block(2 if tag in APART else 1)
         pre = pre or tag in ("pre", "textarea", "xmp", "listing")
         children = node.children

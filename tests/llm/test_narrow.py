@@ -233,6 +233,30 @@ def test_html(spark):
     assert got[1] == (title, text) and got[2] == got[3] == ("", "") and got[4][1] == "just < text > & more" and got[5][1] == "loose" and got[6][1].startswith("in") and got[7][1] == "deep"
 
 
+SHOWN_TOO = [
+    ("<p style='backface-visibility:hidden'>a</p>", "a"),
+    ("<p style='content-visibility:auto'>a</p>", "a"),
+    ("<p style='visibility:inherit'>a</p>", "a"),
+    ("<p style='color:red; visibility : hidden'>a<b style='visibility:inherit'>b</b><i style='visibility:visible'>c</i></p>", "c"),
+    ("<p style='visibility:collapse'>a</p>b", "b"),
+    ("<p style='--display:none'>a</p><p style='display:none;display:block'>b</p>c<p style='DISPLAY: none !important'>d", "a\n\nb\n\nc"),
+    ("<svg width=9><title>t</title><defs><text>d</text></defs><path d='M0'/><desc/><text x=1>one</text><text>two</text></svg>three<desc>four</desc>", "one\ntwo\nthreefour"),
+    ("x <math><mi>a</mi><mo>=</mo><mn>2</mn><semantics><annotation>a=2</annotation></semantics></math> y", "x a=2 y"),
+    ("<style>@media print{.x{display:none} p{margin:0}} .y{display:none}</style><p class=x>a</p><p class=y>b</p>", "a"),
+    ("<style>@media screen{.x{display:none}} @font-face{src:url(a)} /* .y{display:none} */</style><p class=x>a</p><p class=y>b</p>", "b"),
+    ("<style>@import 'a.css'; .x{display:none} @media (max-width:600px){.y{display:none}}</style><p class=x>a</p><p class=y>b</p>", "b"),
+    ("<style>.x{display:none} @media screen{.x{display:block}}</style><p class=x>a</p>", "a"),
+    ("<style media=print>.x{display:none}</style><p class=x>a</p>", "a"),
+    ("<style>@media print{.x{&.z{margin:0}} .x{display:none}}</style><p class=x>a</p>", "a"),
+    ("<style>@media print{@supports (a:b){.x{display:none}}}.y{display:none</style><p class=x>a</p><p class=y>b</p>", "a"),
+]
+
+
+@pytest.mark.parametrize("page, text", SHOWN_TOO)
+def test_html_shows_what_browsers_show(page, text):
+    assert html_extraction.extract(page)[1] == text
+
+
 # BPE
 
 
