@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,45 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "id", names.similarity(F.col("cosine")).alias("similarity"))
 
 
+def _blocks(vectors: DataFrame, prefix: str, rows: int = 2000) -> DataFrame:
+    """A row for so many vectors: their ids, and their vectors scaled to length 1, as bytes."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                v = np.array(part.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
+                v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, v)], [f"{prefix}_ids", f"{prefix}_v"])
+
+    return unit(vectors).filter("id is not null").select("id", "v").mapInArrow(run, f"{prefix}_ids binary, {prefix}_v binary")
+
+
+def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """As knn, for any number of queries with vectors of one length and ids that are numbers: blocks of queries meet blocks of
+    vectors, and only k rows a query and block are shuffled.  The work grows with queries times vectors."""
+
+    def run(batches):
+        for batch in batches:
+            for q_ids, q, ids, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
+                if not len(q_ids) or not len(ids):
+                    continue
+                cosine = np.frombuffer(q).reshape(len(q_ids), -1) @ np.frombuffer(v).reshape(len(ids), -1).T
+                for query, own in zip(q_ids, np.round(cosine, 9), strict=True):
+                    own[ids == query] = -np.inf
+                    near = np.flatnonzero(own >= np.partition(own, -k)[-k]) if len(own) > k else np.arange(len(own))
+                    near = near[np.lexsort((ids[near], -own[near]))][:k]
+                    near = near[ids[near] != query]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), query)), pa.array(ids[near]), pa.array(own[near])], ["query_id", "id", "cosine"])
+
+    both = _blocks(queries, "q").crossJoin(_blocks(vectors, "b")).select("q_ids", "q_v", "b_ids", "b_v")
+    scored = both.mapInArrow(run, "query_id long, id long, cosine double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "id", names.similarity(F.col("cosine")).alias("similarity"))
+
+
 def centroids(vectors: DataFrame, by: str = "label") -> DataFrame:
     """by, position, value: the mean vector of each group, scaled to length 1; partial sums before the shuffle."""
     means = vectors.select(by, F.posexplode("embedding").alias("position", "x")).groupBy(by, "position").agg(F.avg(F.col("x").cast("double")).alias("m"))

@@ -34,3 +34,11 @@ def test_against_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     key = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).values.tolist()))
     assert key(got) == key(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+@pytest.mark.parametrize("name", ["knn_all", "hybrid_search_all", "concentration_all"])
+def test_searches_ask_every_twentieth_row(spark, name):
+    test_against_sql(spark, name)
+    asked = spark.read.parquet(f"{DIR}/embeddings.parquet").filter("vec_id % 20 = 0").count()
+    assert entry.queries()[name](spark, DIR).select("query_id").distinct().count() >= asked > 20
