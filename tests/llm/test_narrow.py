@@ -271,11 +271,31 @@ def test_bpe(spark):
     rng = random.Random(7)
     texts = TEXTS + [" lead", "trail ", "a  b", "x \n y", "x\n y", "q　 z", "日本語👍🏽", "ab" * 700, " " * 300, "a b" * 200]
     texts += ["".join(rng.choice(["a", "b", "the", " ", "  ", "\n", "é", "1", "'s", "!"]) for _ in range(rng.randrange(80))) for _ in range(100)]
-    encoded = byte_bpe.encode_bpe(docs_of(spark, texts), path, P.PATTERN)
-    for r in byte_bpe.decode_bpe(encoded, path, P.PATTERN).collect():
-        want = encoding.encode_ordinary(texts[r.doc_id] or "")
-        assert np.frombuffer(r.ids, "<u4").tolist() == want and r.n_tokens == len(want)
-        assert bytes(r.decoded) == (texts[r.doc_id] or "").encode()
+    texts += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)), "a" * 200_001, "ab" * 100_000, "".join(rng.choices(["the", "and", "was", "that"], k=30_000))]
+    for spaced in (False, True):
+        encoded = byte_bpe.encode_bpe(docs_of(spark, texts), path, P.PATTERN, spaced)
+        for r in byte_bpe.decode_bpe(encoded, path, P.PATTERN).collect():
+            want = encoding.encode_ordinary(texts[r.doc_id] or "")
+            assert np.frombuffer(r.ids, "<u4").tolist() == want and r.n_tokens == len(want)
+            assert bytes(r.decoded) == (texts[r.doc_id] or "").encode()
+    assert byte_bpe.encode_bpe(docs_of(spark, []), path, P.PATTERN, decode=True).count() == 0
+
+
+def test_bpe_of_any_rank_file(tmp_path):
+    """Ranks dealt at random, where merges bring up pairs of lesser rank and some tokens are no result of merges."""
+    import tiktoken
+
+    rng = random.Random(8)
+    for round_ in range(15):
+        tokens = list({bytes(rng.choices(b"abc", k=rng.randint(2, 6))) for _ in range(40)})
+        rng.shuffle(tokens)
+        ranks = {bytes([i]): i for i in range(256)} | {t: 256 + k for k, t in enumerate(tokens)}
+        path = tmp_path / f"{round_}.tiktoken"
+        path.write_text("\n".join(f"{base64.b64encode(t).decode()} {r}" for t, r in ranks.items()))
+        encoding = tiktoken.Encoding("own", pat_str=r"\w+|\s+", mergeable_ranks=ranks, special_tokens={})
+        texts = [" ".join("".join(rng.choices("abc", k=rng.randint(1, 60))) for _ in range(20)) for _ in range(20)] + [t.decode() for t in tokens]
+        bounds, ids = byte_bpe.Coder(str(path), r"\w+|\s+").encode(pa.array(texts, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [encoding.encode_ordinary(t) for t in texts]
 
 
 # top-k
