@@ -77,6 +77,13 @@ def hash_bytes(items: list[bytes], seed: int = 0) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in items), np.uint64, len(items))
 
 
+def flat_ids(items: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ends, ids: the 32-bit ids of items[codes[i]] are ids[ends[i]:ends[i + 1]]."""
+    size = (np.fromiter(map(len, items), np.int64, len(items)) // 4)[codes] if len(items) else np.empty(0, np.int64)
+    data = pa.array(items, pa.large_binary()).take(pa.array(codes)).buffers()[2]
+    return np.r_[0, np.cumsum(size)], np.frombuffer(data, "<u4", int(size.sum())) if data is not None else np.empty(0, "<u4")
+
+
 def mix(z: np.ndarray) -> np.ndarray:
     z = z ^ (z >> np.uint64(32))
     z = z * _C

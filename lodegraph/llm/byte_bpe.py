@@ -79,14 +79,6 @@ select i.doc, string_agg(v.hex, '' order by i.pos) as hex from ids i join vocabu
 """
 
 
-def _flat(items: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ends, ids: the ids of items[codes[i]] are ids[ends[i]:ends[i + 1]]."""
-    size = (np.fromiter(map(len, items), np.int64, len(items)) // 4)[codes] if len(items) else np.empty(0, np.int64)
-    taken = pa.array(items, pa.large_binary()).take(pa.array(codes))
-    data = taken.buffers()[2]
-    return np.r_[0, np.cumsum(size)], np.frombuffer(data, "<u4", int(size.sum())) if data is not None else np.empty(0, "<u4")
-
-
 class Coder:
     """Encodes and decodes by a rank file; one a process.  The tables of either side are made at first use.
 
@@ -191,7 +183,7 @@ class Coder:
                 each[k] = ids
             known.update((distinct[k], each[k]) for k in new[: max(0, self.keep - len(known))])  # the frequent ones come early and stay
         tokens = tokens.astype("<u4")
-        at, ids = _flat([e or b"" for e in each] + [tokens[k : k + 1].tobytes() for k in range(len(tokens))], codes)
+        at, ids = T.flat_ids([e or b"" for e in each] + [tokens[k : k + 1].tobytes() for k in range(len(tokens))], codes)
         return at[np.r_[first, len(codes)]], ids
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -239,7 +231,7 @@ class Coder:
                 each[k] = data[a:b]
             room = max(0, self.keep - len(known))
             known.update((units[k], each[k]) for k in missing[:room] if len(units[k]) < 200)
-        ends, ids = _flat([e or b"" for e in each], codes)
+        ends, ids = T.flat_ids([e or b"" for e in each], codes)
         return ends[bounds], ids
 
     def decode(self, bounds: np.ndarray, ids: np.ndarray) -> list[bytes]:

@@ -1,16 +1,19 @@
 """Packing: vector bin packing of examples into training sequences.
 
 Three limits hold at once in a sequence: tokens, segments, and loss-bearing tokens (the last ones of an example: a prompt
-comes first; of a plain document all but its first id).  The dot-product heuristic fills one sequence after another: of the
-pieces that fit, it takes the one whose demand has the largest weighted dot product with what is left.  When none fits, the
-best one is cut at the gap.  A sequence that still ends short (segments used up, or no piece left) is split at powers of two,
-which need no padding.
+comes first; of a plain document an eighth counts as its prompt).  The dot-product heuristic fills one sequence after another: of
+the examples that fit, it takes the one whose demand has the largest weighted dot product with what is left.  When none fits, the
+best one is cut at the gap and its rest goes back.  Examples of equal demand are one choice, so that the work of a placement
+grows with the number of different demands and not with that of examples.  A sequence that another limit ends early is cut back
+to a power of two of tokens, which needs no padding, unless it is nearly full; the last ids of a group are dealt to
+sequences of powers of two.
 
 Every partition is packed where it lies, in groups of about `group_tokens` tokens, so nothing is shuffled, memory is bounded
 and a lost task packs the same rows again.  A sequence's id holds the partition's number in its upper bits.
 
-Cases: null text is empty (its one id is the end id); a document of any length is cut; ids may be null or repeat (each row
-is its own document); an empty table gives no rows.
+Cases: null text is empty (its one id is the end id); a document of any length is cut; special-token strings in a text are
+those tokens, as the tokenizer reads them; ids may be null or repeat (each row is its own document); an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -26,7 +29,10 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 
-TOKENS, SEGMENTS, LOSS = 4096, 64, 4096
+#: The limits of a sequence.  The last one binds where only the later parts of long documents are left to fill with.
+TOKENS, SEGMENTS, LOSS = 4096, 256, 4032
+#: One of so many ids at the front of a plain document bears no loss, one at least; share of a sequence that may be padding.
+PROMPT, PADDING = 8, 1 / 64
 END_ID = 2
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 _encoders: dict = {}
@@ -46,7 +52,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
@@ -63,12 +68,8 @@ class WordIds:
             cut = (4 * np.searchsorted(np.fromiter((o[0] for o in found.offsets), np.int64, len(ids) // 4), starts)).tolist()
             for k, a, b in zip(new[at : at + 500], cut[:-1], cut[1:], strict=True):
                 each[k] = ids[a:b]
-        known.update((own[k], each[k]) for k in new[: self.KEEP - len(known)])
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        flat, first = np.frombuffer(b"".join(each), "<u4"), np.cumsum(size) - size
-        n = size[codes]
-        ends = np.r_[0, np.cumsum(n)]
-        ids = flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - first[codes], n)]
+        known.update((own[k], each[k]) for k in new[: max(0, self.KEEP - len(known))])
+        ends, ids = T.flat_ids(each, codes)
         cut = ends[bounds]
         if end_id is not None:
             ids, cut = np.insert(ids, cut[1:], np.uint32(end_id)), cut + np.arange(len(cut))
@@ -82,61 +83,99 @@ def encoder(path: str) -> WordIds:
     return _encoders[path]
 
 
+def loss_bearing(lengths: np.ndarray) -> np.ndarray:
+    """The loss-bearing ids of plain documents of such lengths."""
+    return np.maximum(lengths - np.maximum(lengths // PROMPT, 1), 0)
+
+
+class _Pool:
+    """Examples by demand (ids and loss-bearing ids left); equal ones are one row with a stack."""
+
+    def __init__(self, left: np.ndarray, bear: np.ndarray, items: np.ndarray):
+        order = items[np.lexsort((items, bear[items], left[items]))]
+        new = np.flatnonzero(np.r_[True, (np.diff(left[order]) != 0) | (np.diff(bear[order]) != 0)]) if len(order) else np.empty(0, np.int64)
+        self.need, self.need_loss = left[order[new]].astype(float), bear[order[new]].astype(float)
+        self.stacks = [part[::-1].tolist() for part in np.split(order, new[1:])] if len(order) else []
+        self.row = {(int(a), int(b)): k for k, (a, b) in enumerate(zip(self.need, self.need_loss, strict=True))}
+        self.some, self.free, self.n = np.ones(len(new), bool), self.need - self.need_loss, len(order)
+
+    def put(self, i: int, need: int, need_loss: int) -> None:
+        self.n += 1
+        k = self.row.get((need, need_loss))
+        if k is None:
+            k = self.row[need, need_loss] = len(self.stacks)
+            self.stacks.append([])
+            if k == len(self.need):  # room for as many again
+                self.need, self.need_loss, self.free = (np.r_[x, np.zeros(k + 16)] for x in (self.need, self.need_loss, self.free))
+                self.some = np.r_[self.some, np.zeros(k + 16, bool)]
+            self.need[k], self.need_loss[k], self.free[k] = need, need_loss, need - need_loss
+        self.stacks[k].append(i)
+        self.some[k] = True
+
+    def take(self, k: int) -> int:
+        self.n -= 1
+        i = self.stacks[k].pop()
+        self.some[k] = bool(self.stacks[k])
+        return i
+
+
 def pack(lengths, loss, tokens: int = TOKENS, segments: int = SEGMENTS, loss_tokens: int = LOSS) -> list[list[tuple[int, int, int, int]]]:
     """Sequences of pieces (example, start, length, loss-bearing tokens).  Each id of each example is in one piece; each
-    sequence keeps the three limits and is full or has a power of two of tokens (if `tokens` is one)."""
-    left, bear, begin = np.array(lengths, np.int64), np.array(loss, np.int64), np.zeros(len(lengths), np.int64)
+    sequence keeps the three limits and is full, nearly so, or has a power of two of tokens (if `tokens` is one)."""
     if min(tokens, segments, loss_tokens) < 1:
         raise ValueError("limits are 1 at least")
+    left, bear, begin = np.array(lengths, np.int64), np.array(loss, np.int64), np.zeros(len(lengths), np.int64)
     out: list = []
     limits = np.array([tokens, segments, loss_tokens], float)
-
-    def cut(i: int, n: int) -> tuple[int, int, int, int]:
-        held = max(0, n - int(left[i] - bear[i]))
-        piece = (i, int(begin[i]), n, held)
-        begin[i] += n
-        left[i] -= n
-        bear[i] -= held
-        return piece
-
-    def most(i: int, room: int, room_loss: int) -> int:
-        """Ids of the front of i that fit."""
-        return int(min(left[i], room, left[i] - bear[i] + room_loss))
-
-    for i in np.flatnonzero((left > tokens) | (bear > loss_tokens)):
-        while left[i] > tokens or bear[i] > loss_tokens:
-            out.append([cut(i, most(i, tokens, loss_tokens))])
-    items = np.flatnonzero(left > 0)
-    items = items[np.lexsort((items, -left[items]))]
-    weight = np.array([left.sum(), len(items), bear.sum()]) / limits
+    weight = np.array([left.sum(), len(left), bear.sum()]) / limits
     weight = weight / max(weight.sum(), 1e-12) / limits**2
-    while len(items):
-        sequence, room, seats, room_loss = [], tokens, segments, loss_tokens
-        need, need_loss, alive = left[items], bear[items], np.ones(len(items), bool)
-        while room and seats and alive.any():
-            score = need * (weight[0] * room) + need_loss * (weight[2] * room_loss) + weight[1] * seats
-            fits = alive & (need <= room) & (need_loss <= room_loss)
+    fit = (left <= tokens) & (bear <= loss_tokens)
+    long, pool = np.flatnonzero(~fit)[::-1].tolist(), _Pool(left, bear, np.flatnonzero(fit & (left > 0)))
+    whole = not tokens & (tokens - 1)
+    while long or pool.n:
+        placed, room, seats, room_loss = [], tokens, segments, loss_tokens
+
+        def place(i: int, n: int) -> None:
+            nonlocal room, seats, room_loss
+            placed.append((i, n))
+            room, seats, room_loss = room - n, seats - 1, room_loss - max(0, n - int(left[i] - bear[i]))
+
+        if long:
+            i = long.pop()
+            place(i, int(min(tokens, left[i] - bear[i] + loss_tokens)))
+        while room and seats and pool.n:
+            fits = pool.some & (pool.need <= room) & (pool.need_loss <= room_loss)
+            score = pool.need * (weight[0] * room) + pool.need_loss * (weight[2] * room_loss) + weight[1] * seats
             if fits.any():
                 k = int(np.argmax(np.where(fits, score, -1)))
-                n = int(need[k])
-                alive[k] = False
-            else:
-                k = int(np.argmax(np.where(alive, score, -1)))
-                n = most(items[k], room, room_loss)
-                if n < 1:
-                    break
-            sequence.append(cut(items[k], n))
-            room, seats, room_loss = room - n, seats - 1, room_loss - sequence[-1][3]
-            need[k], need_loss[k] = left[items[k]], bear[items[k]]
+                i = pool.take(k)
+                place(i, int(left[i]))
+                continue
+            able = pool.some if room_loss else pool.some & (pool.free > 0)
+            if not able.any():
+                break
+            i = pool.take(int(np.argmax(np.where(able, score, -1))))
+            place(i, int(min(left[i], room, left[i] - bear[i] + room_loss)))
+        total, more = tokens - room, bool(long or pool.n) or any(n < left[i] for i, n in placed)
+        aim = 1 << (total.bit_length() - 1) if whole and more and total < tokens * (1 - PADDING) else total
+        sequence = []
+        for i, n in placed:
+            if n := min(n, aim):
+                held = max(0, n - int(left[i] - bear[i]))
+                sequence.append((i, int(begin[i]), n, held))
+                begin[i], left[i], bear[i], aim = begin[i] + n, left[i] - n, bear[i] - held, aim - n
+            if left[i] > tokens or bear[i] > loss_tokens:
+                long.append(i)
+            elif left[i]:
+                pool.put(i, int(left[i]), int(bear[i]))
         out.append(sequence)
-        items = items[alive]
-    return [part for sequence in out for part in _powers(sequence, tokens)]
+    return out[:-1] + _powers(out[-1], tokens) if out else out
 
 
 def _powers(sequence: list, tokens: int) -> list[list]:
-    """The sequence itself if it is full, else its ids dealt to sequences of powers of two, largest first."""
+    """The sequence itself if it is nearly full, else its ids dealt to sequences of powers of two, largest first."""
     total = sum(p[2] for p in sequence)
-    if total == tokens or tokens & (tokens - 1):
+    if total >= tokens * (1 - PADDING) or tokens & (tokens - 1):
         return [sequence]
     parts, now, room = [], [], 1 << (total.bit_length() - 1)
     for i, start, n, loss in sequence:
@@ -159,7 +198,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, segmen
         lengths = np.diff(cuts)
         data = memoryview(ids_of).cast("B")
         rows: list = []
-        found = pack(lengths, np.maximum(lengths - 1, 0), tokens, segments, loss_tokens)
+        found = pack(lengths, loss_bearing(lengths), tokens, segments, loss_tokens)
         for k, sequence in enumerate(found):
             offset = 0
             for i, start, n, loss in sequence:
