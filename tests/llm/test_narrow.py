@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import struct
 import textwrap
 import zlib
 
@@ -27,7 +28,7 @@ def docs_of(spark, texts):
 def test_png_filters(samples):
     rng = np.random.default_rng(samples)
     pixels = rng.integers(0, 256, (12, 7) if samples == 1 else (12, 7, samples), dtype=np.uint8)
-    for kinds in (0, 1, 2, 3, 4, rng.integers(0, 5, 12)):
+    for kinds in (None, 0, 1, 2, 3, 4, rng.integers(0, 5, 12), rng.integers(0, 3, 12), rng.integers(3, 5, 12)):
         assert (media_columns.decode_png(media_columns.encode_png(pixels, kinds)) == pixels).all()
 
 
@@ -47,8 +48,22 @@ def test_media_query(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.error) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), None)
         assert len(r.feature) == 8
     assert got[0].media == got[1].media and got[0].feature == got[1].feature
-    bad = spark.createDataFrame([(1, 0, bytearray(b"no")), (2, 0, None)], "doc_id long, n_bytes long, media binary")
-    assert [r.payload_sha256 for r in media_columns.read_media(bad).collect()] == [None, None]
+    kinds = np.frombuffer(zlib.decompress(bytes(got[6].media)[41:-16]), np.uint8).reshape(-1, 25)[:, 0]
+    assert kinds.any()  # row filters are in use
+    assert media_columns.read_media(media_columns.store_media(docs_of(spark, []))).count() == 0
+
+
+def test_media_of_bad_files(spark):
+    """Right checksums, wrong contents."""
+    good, chunk = media_columns.encode_png(np.zeros((4, 4), np.uint8)), media_columns._chunk
+    head = lambda *x: media_columns.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", *x))
+    end, data = chunk(b"IEND", b""), chunk(b"IDAT", zlib.compress(b"\0" * 20))
+    bad = [b"no", None, b"", media_columns.SIGNATURE + chunk(b"IHDR", b"abc") + data + end, head(0, 4, 8, 0, 0, 0, 0) + data + end, head(4, 0, 8, 0, 0, 0, 0) + chunk(b"IDAT", zlib.compress(b"")) + end]
+    bad += [head(1 << 31, 1 << 31, 8, 0, 0, 0, 0) + data + end, head(4, 4, 16, 0, 0, 0, 0) + data + end, head(4, 4, 8, 0, 0, 0, 0) + end, head(4, 4, 8, 0, 0, 0, 0) + data + data + end[:-1]]
+    bad += [head(4, 4, 8, 0, 0, 0, 0) + chunk(b"IDAT", zlib.compress(b"\7" * 20)) + end, head(4, 4, 8, 0, 0, 0, 0) + chunk(b"IDAT", zlib.compress(b"\0" * 10_000_000)) + end, data + good, good[:33] + good]
+    rows = spark.createDataFrame([(i, 0, x and bytearray(x)) for i, x in enumerate([*bad, good])], "doc_id long, n_bytes long, media binary")
+    got = media_columns.read_media(rows).orderBy("doc_id").collect()
+    assert all(r.payload_sha256 is None and r.error for r in got[:-1]) and got[-1].payload_bytes == 16 and got[-1].error is None
 
 
 # packing
