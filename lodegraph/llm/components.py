@@ -2,8 +2,9 @@
 
 Each round relinks every node to the least of its neighbourhood; the number of rounds grows with the logarithm of a
 component's diameter.  All state is a table of links: nothing is collected.  A round ends in a table written
-to the shared folder.  A node's least neighbour is an aggregate with partial sums; the join that gives it back is one that Spark
-can split where a node has very many links.
+to the shared folder.  A node's links are dealt to `SALTS` shares, so that no task holds all links of a node that has very many.
+
+Cases: an empty table, or one of null ends only, gives no rows; repeated links count once; a loop alone is a component.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and written as a table to the folder that spark.checkpoint.dir names (a temporary one where the
-    session has none, as in tests): lineage ends there, and executors may be lost after that.  The tables of a process are
-    removed when it ends."""
+    """df, computed once and written as a table to the folder that spark.checkpoint.dir names (a temporary one where a
+    session on one machine has none, as in tests): lineage ends there, and executors may be lost after that.  The tables of a
+    process are removed when it ends."""
     spark = df.sparkSession
     if (top := _folders.get(spark.sparkContext.applicationId)) is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        where = where or tempfile.mkdtemp()
         top = _folders[spark.sparkContext.applicationId] = f"{where}/tables-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, top)
     path = f"{top}/{uuid.uuid4().hex}"
@@ -42,25 +46,38 @@ def _remove(spark, path: str) -> None:
             pass
 
 
+#: Shares to which the links of a node are dealt.
+SALTS = 16
+
+
+def _with_least(links: DataFrame) -> DataFrame:
+    """u, v, m: m is the least v of each u."""
+    dealt = links.withColumn("share", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    shares = dealt.groupBy("u", "share").agg(F.min("v").alias("m"))
+    least = shares.groupBy("u").agg(F.min("m").alias("m"))
+    return dealt.join(shares.select("u", "share").join(least, "u"), ["u", "share"]).select("u", "v", "m")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """node, component (its least node) for every node of a link; loops are nodes of their own.  Links with a null end are
-    left out."""
+    left out.  More rounds than `rounds` are an error (a path of 2^60 nodes might take them), never a partial result."""
     every = links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")
     edges = saved(every.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(rounds):
         # large-star: every greater neighbour of u is linked to the least of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         # small-star: the lesser neighbours of u and u itself are linked to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        low = _with_least(large)
+        small = low.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = saved(small)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"no end after {rounds} rounds")
     labelled = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     alone = every.filter("a = b").select(F.col("a").alias("node")).distinct()

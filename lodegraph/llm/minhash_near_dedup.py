@@ -9,16 +9,17 @@
 3. Every list links its least class with the others.  Pairs with at least `MATCHES` collisions are confirmed on full sets.
 4. Classes of lists that still hold several components meet in blocks of bounded size, with their texts: those of different
    components that collide often enough are confirmed on the spot, so that no link that joins components is lost and no
-   pair leaves a task unless it is such a link.
+   pair leaves a task unless it is such a link.  Lists that share members meet as one where that makes no more than a block,
+   else each list by itself (equal ones once).
 5. Components of the confirmed links name the smallest id that each document reaches.
 
-At a similarity of 0.75 fewer than 28 of 64 coordinates agree with a probability of about 1e-9.  Lists of any length are
+At a similarity of 0.75 fewer than 28 of 64 coordinates agree with a probability of 2.5e-8.  Lists of any length are
 handled: a class's leader pairs are split in chunks, and blocks of a long list meet pair by pair.  Nothing is collected; the
 steps' tables are written to the shared folder.
 
 Cases: no words or no text: an empty set, linked with nothing; fewer than five words: the whole sequence is one shingle;
-rows that share an id are one node; rows without an id are kept and linked with nothing; equal texts are linked; an empty
-table gives no rows; only the id and text columns are read.
+rows that share an id are one node, which reaches what any of them reaches; rows without an id are kept and linked with
+nothing; equal texts are linked; an empty table gives no rows; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def _prefixes(classes: DataFrame) -> DataFrame:
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs a, b whose signatures collide often enough and whose set sizes allow the similarity."""
     of = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
-    both = pairs.join(of("a"), "a").filter("true").join(of("b"), "b")
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
     collisions = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
     return both.filter(F.expr(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")).filter(collisions >= MATCHES).select("a", "b")
 
@@ -161,16 +162,22 @@ def _joining(blocks: DataFrame) -> DataFrame:
 
 
 def _rest(postings: DataFrame, labels: DataFrame, own: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links that join components, from the lists that still have several.  Classes that such lists connect make a cluster;
-    its blocks meet pair by pair with their texts, so each pair is looked at once and only links come out."""
+    """Links that join components, from the lists that still have several.  Classes that such lists connect meet in one
+    block if they fit, else list by list; the blocks of a long list meet pair by pair.  Texts go along, and only links come out."""
     named = postings.join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label"))
-    mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).filter("low < high and n > 2")
-    rows = saved(named.join(mixed, "token").select("node", "label", "leader").distinct())
+    mixed = named.groupBy("token").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y")
+    )
+    mixed = mixed.filter("low < high and n > 2").select("token", "leader", F.xxhash64("n", "x", "y").alias("unit"))
+    rows = saved(named.join(mixed, "token").select("node", "label", "leader", "unit").distinct())  # equal lists are one from here
     clusters = saved(components(rows, "leader", "node").withColumnRenamed("component", "cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("parts"))
-    members = rows.select("node", "label").distinct().join(clusters, "node").join(sizes, "cluster")
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    placed = rows.join(clusters.join(sizes, "cluster"), "node")
+    members = placed.select("node", "label", F.expr(f"case when n <= {BLOCK} then xxhash64('cluster', cluster) else unit end").alias("unit")).distinct()
+    parts = members.groupBy("unit").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("parts"))
+    members = members.join(parts, "unit")
     members = members.withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    members = saved(members.select("node", "label", F.xxhash64("cluster", F.least("part", "other"), F.greatest("part", "other")).alias("list"), F.expr("case when part = other then 2 when part < other then 0 else 1 end").alias("side")))
+    members = saved(members.select("node", "label", F.xxhash64("unit", F.least("part", "other"), F.greatest("part", "other")).alias("list"), F.expr("case when part = other then 2 when part < other then 0 else 1 end").alias("side")))
     tasks = max(1, -(-members.count() // TASK_ROWS))
     blocks = members.join(classes, "node").join(own.select(F.col("doc_id").alias("node"), "text"), "node").withColumn("task", F.pmod("list", F.lit(tasks)))
     return _joining(blocks)
@@ -194,13 +201,21 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     postings = saved(_prefixes(classes))
     leaders = postings.groupBy("token").agg(F.min("node").alias("a"))
     stars = postings.join(leaders, "token").filter("a < node").select("a", F.col("node").alias("b")).distinct()
-    first = saved(_confirm(saved(_agreeing(stars, classes)), own, classes))
-    labels = saved(components(first))
+    first = _confirm(saved(_agreeing(stars, classes)), own, classes)
+    labels = saved(components(saved(first.unionByName(_same_id(signed, classes)))))
     labels = _merged(labels, saved(_rest(postings, labels, own, classes)))
     ends = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(ends, "digest", "left")
+    out = signed.filter("digest is not null").join(ends, "digest", "left").select("doc_id", "n_shingles", "component")
+    empty = signed.filter("digest is null").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", "component")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.unionByName(empty).select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _same_id(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links a, b between each id whose rows have different sets and the classes of those sets."""
+    digest = F.coalesce("digest", F.lit(b""))
+    several = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).filter("low <> high").select("doc_id")
+    return signed.join(several, "doc_id").join(classes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -209,20 +224,22 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 with recursive w as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+  select row_number() over () as rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
   from documents
 ), s as (
-  select distinct doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') as sh from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 5)
+  select distinct rid, array_to_string(list_slice(ws, i, i + 4), ' ') as sh from (select rid, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 5)
   union all
-  select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and 4
+  select rid, array_to_string(ws, ' ') from w where len(ws) between 1 and 4
 ), n as (
-  select doc_id, count(*) as n from s group by doc_id
+  select rid, count(*) as n from s group by rid
 ), k as (
-  select sh, min(doc_id) as low from s group by sh having count(*) > 1
+  select sh from s group by sh having count(*) > 1
 ), p as (
-  select a.doc_id as a, b.doc_id as b, count(*) as c from s a join k using (sh) join s b using (sh) where a.doc_id < b.doc_id group by all
+  select a.rid as a, b.rid as b, count(*) as c from s a join k using (sh) join s b using (sh) where a.rid < b.rid group by all
 ), l as (
-  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)
+  select distinct v.doc_id as a, z.doc_id as b
+  from p join n x on x.rid = a join n y on y.rid = b join w v on v.rid = a join w z on z.rid = b
+  where 100 * c >= 75 * (x.n + y.n - c) and v.doc_id <> z.doc_id
 ), e as (
   select a, b from l union all select b, a from l
 ), r(node, low) as (
@@ -233,6 +250,6 @@ with recursive w as (
   select node, min(low) as low from r group by node
 )
 select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, cast(least(w.doc_id, coalesce(m.low, w.doc_id)) as bigint) as component_id,
-  w.doc_id = least(w.doc_id, coalesce(m.low, w.doc_id)) as kept
-from w left join n on n.doc_id = w.doc_id left join m on m.node = w.doc_id
+  w.doc_id is not distinct from least(w.doc_id, coalesce(m.low, w.doc_id)) as kept
+from w left join n on n.rid = w.rid left join m on m.node = w.doc_id
 """

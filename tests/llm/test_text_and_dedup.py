@@ -100,7 +100,27 @@ def brute_near(texts):
     return [(len(sets[i]), find(i)) for i in range(len(texts))]
 
 
-def test_near_dedup(spark):
+def sql_near(rows):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar)")
+    db.executemany("insert into documents values (?, ?)", rows)
+    return sorted(map(str, db.execute(f"select doc_id, n_shingles, component_id, kept from ({M.SQL})").fetchall()))
+
+
+def test_near_dedup_of_shared_ids(spark):
+    a, b, c = ("".join(f"{x}{i} " for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b + "z"), (9, None), (9, c), (8, c), (11, c), (11, ""), (12, ""), (13, "q"), (13, "r"), (None, a), (20, "q r"), (20, None)]
+    got = M.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(tuple(r)) for r in got) == sql_near(rows)
+    assert {r.doc_id: (r.component_id, r.kept) for r in got if r.doc_id in (3, 5, 7, 8, 9, 11)} == {3: (3, True), 5: (3, False), 7: (3, False), 8: (8, True), 9: (8, False), 11: (8, False)}
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_near_dedup(spark, monkeypatch, block):
+    monkeypatch.setattr(M, "BLOCK", block)
+    monkeypatch.setattr(M, "TASK_ROWS", 4 * block)
     rng = random.Random(5)
     base = [[f"v{rng.randrange(500)}" for _ in range(120)] for _ in range(6)]
     texts = list(ODD) + ["one", "ONE", "a b c", "A b c", "c b a"]
@@ -136,6 +156,9 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20, 60)] + [(5, 1), (1, 7), (100, 100), (3, None)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {i: 20 for i in range(20, 61)} | {1: 1, 5: 1, 7: 1, 100: 100}
+    with pytest.raises(RuntimeError):
+        components(links, rounds=2)
+    assert components(links.limit(0)).count() == 0
 
 
 def test_sha(spark):
