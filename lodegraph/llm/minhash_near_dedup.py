@@ -9,8 +9,9 @@
 3. Every list links its least class with the others.  Pairs with at least `MATCHES` collisions are confirmed on full sets.
 4. Classes of lists that still hold several components meet in blocks of bounded size, with their texts: those of different
    components that collide often enough are confirmed on the spot, so that no link that joins components is lost and no
-   pair leaves a task unless it is such a link.  Lists that share members meet as one where that makes no more than a block,
-   else each list by itself (equal ones once).
+   pair leaves a task unless it is such a link.  Lists that share members meet as one where that makes no more than a block or
+   no more pairs than list by list would (equal lists once).  Of the components of a list the largest is dealt out once, and
+   the others go to each of its parts.
 5. Components of the confirmed links name the smallest id that each document reaches.
 
 At a similarity of 0.75 fewer than 28 of 64 coordinates agree with a probability of 2.5e-8.  Lists of any length are
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from .components import components, saved
+from .components import SALTS, components, saved
 
 SHINGLE, PERCENT = 5, 75
 COORDINATES, MATCHES = 64, 28
@@ -112,8 +113,10 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _confirm(pairs: DataFrame, own: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs a, b whose full sets are similar enough.  The members b of an a are dealt to chunks; each chunk gets the
     texts of its members and of a."""
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    dealt = pairs.join(many, "a").select("a", "b", F.expr(f"cast(pmod(xxhash64(b), ceil(n / {CHUNK})) as int)").alias("chunk"))
+    shared = pairs.withColumn("share", F.pmod(F.xxhash64("b"), F.lit(SALTS)))  # no task counts all members of an a
+    shares = shared.groupBy("a", "share").agg(F.count(F.lit(1)).alias("n"))
+    many = shares.select("a", "share").join(shares.groupBy("a").agg(F.sum("n").alias("n")), "a")
+    dealt = shared.join(many, ["a", "share"]).select("a", "b", F.expr(f"cast(pmod(xxhash64(b), ceil(n / {CHUNK})) as int)").alias("chunk"))
     wanted = dealt.select("a", "chunk", F.col("b").alias("doc_id")).unionByName(dealt.select("a", "chunk", F.col("a").alias("doc_id")).distinct())
     known = classes.select(F.col("node").alias("doc_id"), "digest")
     rows = wanted.join(known, "doc_id").join(own, "doc_id").select("a", "chunk", "doc_id", "digest", "text")
@@ -161,9 +164,9 @@ def _joining(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def _rest(postings: DataFrame, labels: DataFrame, own: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links that join components, from the lists that still have several.  Classes that such lists connect meet in one
-    block if they fit, else list by list; the blocks of a long list meet pair by pair.  Texts go along, and only links come out."""
+def _rest(postings: DataFrame, labels: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links that join components, from the lists that still have several.  What meets goes along with its texts; only links
+    come out."""
     named = postings.join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label"))
     mixed = named.groupBy("token").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y")
@@ -171,15 +174,23 @@ def _rest(postings: DataFrame, labels: DataFrame, own: DataFrame, classes: DataF
     mixed = mixed.filter("low < high and n > 2").select("token", "leader", F.xxhash64("n", "x", "y").alias("unit"))
     rows = saved(named.join(mixed, "token").select("node", "label", "leader", "unit").distinct())  # equal lists are one from here
     clusters = saved(components(rows, "leader", "node").withColumnRenamed("component", "cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    placed = rows.join(clusters.join(sizes, "cluster"), "node")
-    members = placed.select("node", "label", F.expr(f"case when n <= {BLOCK} then xxhash64('cluster', cluster) else unit end").alias("unit")).distinct()
-    parts = members.groupBy("unit").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("parts"))
-    members = members.join(parts, "unit")
-    members = members.withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    members = saved(members.select("node", "label", F.xxhash64("unit", F.least("part", "other"), F.greatest("part", "other")).alias("list"), F.expr("case when part = other then 2 when part < other then 0 else 1 end").alias("side")))
+    placed = saved(rows.join(clusters, "node").select("node", "label", "unit", "cluster"))
+    by_list = placed.groupBy("cluster", "unit").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.sum(F.expr("cast(n as double) * n")).alias("cost"))
+    as_one = by_list.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster").select("cluster", F.expr(f"n <= {BLOCK} or cast(n as double) * n <= cost").alias("as_one"))
+    members = placed.join(as_one, "cluster").select("node", "label", F.expr("case when as_one then xxhash64('cluster', cluster) else unit end").alias("unit")).distinct()
+    shares = members.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = shares.groupBy("unit").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.max("n").alias("n_largest"), F.sum("n").alias("n"))
+    dealt = members.join(sizes, "unit").selectExpr(
+        "node", "label", "unit", "label = largest as first", f"cast(ceil(n_largest / {BLOCK}) as int) as parts", f"cast(ceil((n - n_largest) / {BLOCK}) as int) as others", "xxhash64(node) as h"
+    )
+    first = "array(named_struct('kind', 0, 'a', cast(pmod(h, parts) as int), 'b', 0, 'side', 0))"
+    meets = "transform(sequence(0, parts - 1), p -> named_struct('kind', 0, 'a', p, 'b', 0, 'side', 1))"
+    own = "cast(pmod(h, others) as int)"
+    among = f"transform(sequence(0, others - 1), p -> named_struct('kind', 1, 'a', least({own}, p), 'b', greatest({own}, p), 'side', case when {own} = p then 2 when {own} < p then 0 else 1 end))"
+    members = dealt.select("node", "label", "unit", F.explode(F.expr(f"case when first then {first} else concat({meets}, {among}) end")).alias("p"))
+    members = saved(members.select("node", "label", F.xxhash64("unit", "p.kind", "p.a", "p.b").alias("list"), "p.side"))
     tasks = max(1, -(-members.count() // TASK_ROWS))
-    blocks = members.join(classes, "node").join(own.select(F.col("doc_id").alias("node"), "text"), "node").withColumn("task", F.pmod("list", F.lit(tasks)))
+    blocks = members.join(classes, "node").join(texts, "node").withColumn("task", F.pmod("list", F.lit(tasks)))
     return _joining(blocks)
 
 
@@ -203,7 +214,7 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     stars = postings.join(leaders, "token").filter("a < node").select("a", F.col("node").alias("b")).distinct()
     first = _confirm(saved(_agreeing(stars, classes)), own, classes)
     labels = saved(components(saved(first.unionByName(_same_id(signed, classes)))))
-    labels = _merged(labels, saved(_rest(postings, labels, own, classes)))
+    labels = _merged(labels, saved(_rest(postings, labels, own.withColumnRenamed("doc_id", "node"), classes)))
     ends = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = signed.filter("digest is not null").join(ends, "digest", "left").select("doc_id", "n_shingles", "component")
     empty = signed.filter("digest is null").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", "component")
