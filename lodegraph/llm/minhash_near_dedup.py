@@ -175,9 +175,10 @@ def _rest(postings: DataFrame, labels: DataFrame, texts: DataFrame, classes: Dat
     rows = saved(named.join(mixed, "token").select("node", "label", "leader", "unit").distinct())  # equal lists are one from here
     clusters = saved(components(rows, "leader", "node").withColumnRenamed("component", "cluster"))
     placed = saved(rows.join(clusters, "node").select("node", "label", "unit", "cluster"))
-    by_list = placed.groupBy("cluster", "unit").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.sum(F.expr("cast(n as double) * n")).alias("cost"))
-    as_one = by_list.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster").select("cluster", F.expr(f"n <= {BLOCK} or cast(n as double) * n <= cost").alias("as_one"))
-    members = placed.join(as_one, "cluster").select("node", "label", F.expr("case when as_one then xxhash64('cluster', cluster) else unit end").alias("unit")).distinct()
+    units = placed.groupBy("cluster", "unit").agg(F.count(F.lit(1)).alias("n"))
+    costs = units.groupBy("cluster").agg(F.sum(F.expr("cast(n as double) * n")).alias("cost")).join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster")
+    meeting = units.join(costs, "cluster").select("unit", F.expr(f"case when size <= {BLOCK} or cast(size as double) * size <= cost then xxhash64('cluster', cluster) else unit end").alias("meeting"))
+    members = placed.join(meeting, "unit").select("node", "label", F.col("meeting").alias("unit")).distinct()
     shares = members.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("n"))
     sizes = shares.groupBy("unit").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.max("n").alias("n_largest"), F.sum("n").alias("n"))
     dealt = members.join(sizes, "unit").selectExpr(
