@@ -258,7 +258,7 @@ def _count(kind: str):
 def digests(found: DataFrame) -> DataFrame:
     """Counts by kind, and the joined spans of a scan."""
     base = F.filter("spans", lambda s: s["kind"] != "markov")
-    return found.select("doc_id", *map(_count, KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(_count, KINDS[:3]), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), _count(KINDS[3]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
