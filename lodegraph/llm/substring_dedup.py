@@ -5,7 +5,7 @@ positions whose short window is repeated are extended to twice the length, until
 survive.  Below the wanted length a window of `window` words is stood for by the leftmost least of its sub-windows, which
 equal windows share; that leaves about a tenth of the positions to be counted.
 
-Data move by blocks of documents (about `block_bytes` of text each, spread by hash).  A block sends each of its distinct
+Data move by blocks of documents (about `block_bytes` of text each, spread by a hash of row and input partition).  A block sends each of its distinct
 window names once, with a mark if it holds it twice; names that are repeated anywhere go back to the blocks that hold them.
 So a passage in a third of all documents costs one row a block, whatever the number of its occurrences, and no task ever
 gathers the occurrences of a passage.
@@ -62,9 +62,12 @@ def _send(block: _Block, number: int, names: np.ndarray, at: np.ndarray, extra:
     chosen = np.zeros(len(names), bool)
     chosen[at] = True
     at = np.flatnonzero(chosen)
-    at = at[np.argsort(names[at])]
+    at = at[np.argsort(names[at]) if extra is None else np.lexsort((extra[at], names[at]))]
     keys = names[at]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    new = keys[1:] != keys[:-1]
+    if extra is not None:
+        new |= extra[at[1:]] != extra[at[:-1]]
+    first = np.flatnonzero(np.r_[True, new]) if len(keys) else np.empty(0, np.int64)
     n = np.diff(np.r_[first, len(keys)])
     keys, tag = keys[first], np.uint64(number << 1) | (n > 1).astype(np.uint64)
     if extra is not None:
@@ -126,7 +129,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, base: int = 9, block_byte
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    own = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    # equal rows go apart too; a row's partition is the same whenever it is computed again
+    own = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int"))
     grouped = own.groupBy("block")
     sent = grouped.applyInArrow(_level(levels, 0), "h long, tag long")
     for k in range(len(levels)):
