@@ -4,12 +4,13 @@ Features are single words, pairs of neighbours and pairs with one word between,
 lower-cased (A-Z) and lose punctuation at their ends.  FTRL-proximal gives each coordinate its own rate and, with L1, zeroes
 most weights, so the model is a short list of coordinates that goes to every task whatever the corpus.
 
-The model is fitted on a bounded sample: at most about `max_rows` labelled rows, chosen by a hash of their id, and
-`max_bytes` of their texts.  The rows meet the documents in a join whose small side has that bound.  Scoring is one narrow
-pass over whole texts.
+The model is fitted on a bounded sample: at most about `max_rows` labelled rows, chosen by a hash of their id, and of the
+documents that they name about `max_bytes` of text, chosen by a hash of the row before it is moved.  The rows meet the documents
+in a join whose small side has that bound.  Scoring is one narrow pass over whole texts.
 
 Cases: null text is empty; a text without words scores by the bias alone; without any usable label every score is 0.5;
-null labels and labels of unknown documents are left out; equal texts count once in the fit; ids may be null or repeat.
+null labels and labels of unknown documents are left out; equal texts count once in the fit, with the label 0 if they or their
+ids have both; ids may be null or repeat; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -98,6 +99,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_row
     sample = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * max_rows)
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     rows = own.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > max_bytes:
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(1 << 30)) < int(max_bytes / size * (1 << 30)))
     one = rows.repartition(1).sortWithinPartitions("doc_id", "label", F.xxhash64("text")).select("text", "label")
     row = one.mapInArrow(_trainer(bits, max_bytes, epochs), "at binary, w binary, bias double").first()
     return (np.frombuffer(row.at, np.int32).astype(np.int64), np.frombuffer(row.w, np.float32).astype(np.float64), row.bias) if row else (np.empty(0, np.int64), np.empty(0), 0.0)
