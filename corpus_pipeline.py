@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; its result is written as Parquet and read
 again as the next one's docs.  All but the last keep the columns of documents, with n_chars as the length of the text.
+
+Cases, in every stage: an empty table gives no rows; a null text stays null (packing reads it as empty) and goes by no stage but
+as a label or copy of its id does; rows without an id stay; repeated rows are rows each, of which near-dedup keeps those of the
+least id; columns other than those of documents are left out.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages that repeat go.  Texts without such passages stay as they are, and so does every document."""
-    keyed = docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id())  # ids may repeat; the files' rows keep their order
+    keyed = saved(docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id()))  # ids may repeat; keys are given once
     found = substring_dedup.substring_dedup(keyed, id_column="row_key").filter("n_removed > 0").select(F.col("doc_id").alias("row_key"), "kept_text")
     n_chars = F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     return keyed.join(found, "row_key", "left").select("doc_id", F.coalesce("kept_text", "text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
