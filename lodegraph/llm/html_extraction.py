@@ -3,7 +3,8 @@
 A tokenizer feeds a tree builder that knows void elements, raw text, implied start and end tags and misnested end tags.  The
 tree is walked once: hidden subtrees are left out (hidden, display:none, visibility, closed details and dialogs, elements
 that never show, simple selectors of the page's own style sheets), blocks are set apart as a browser sets them, list items
-get their marks and depth, preformatted text keeps its spaces, and the cells of a table are aligned in columns.
+get their marks and depth, preformatted text keeps its spaces, and the cells of a table are aligned in columns (spans of
+columns and rows included).
 
 One narrow pass; a worker holds a slice of pages.  The walk keeps its own stack, so depth is bounded by memory alone.
 
@@ -64,9 +65,16 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
 _CSS, _BRACE = re.compile(r"[{};]"), re.compile(r"[{}]")
+_WHOLE = re.compile(r"\s*([+-]?[0-9]{1,9})")
 _DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)")
 
 
+def _number(value: str, otherwise: int) -> int:
+    """The whole number that an attribute begins with."""
+    m = _WHOLE.match(value)
+    return int(m[1]) if m else otherwise
+
+
 class Node:
     #: embedded: svg or math, for what lies in one
     __slots__ = ("tag", "attributes", "children", "embedded")
@@ -214,28 +222,44 @@ class _Lines:
 
 
 class _Table:
+    """Rows of cells: columns and rows that each spans, and its lines."""
+
     def __init__(self):
-        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.rows: list[list[tuple[int, int, list[str]]]] = []
         self.before = _Lines()
 
+    def _placed(self) -> list[list[tuple[int, int, list[str]]]]:
+        """The cells of each row with their first column; cells from rows above keep theirs."""
+        out, busy = [], {}  # column: rows below that it is taken for
+        for row in self.rows:
+            at, cells, below = 0, [], {}
+            for span, deep, lines in row:
+                while busy.get(at):
+                    at += 1
+                cells.append((at, span, lines))
+                below |= {at + k: deep - 1 for k in range(span) if deep > 1}
+                at += span
+            busy = {c: n - 1 for c, n in busy.items() if n > 1} | below
+            out.append(cells)
+        return out
+
     def lines(self) -> list[str]:
         width: list[int] = []
-        for row in self.rows:
-            at = 0
-            for span, lines in row:
+        rows = self._placed()
+        for row in rows:
+            for at, span, lines in row:
                 width += [0] * (at + span - len(width))
                 if span == 1:
                     width[at] = max([width[at], *map(len, lines)])
-                at += span
+        starts = [0]
+        for w in width:
+            starts.append(starts[-1] + w + 2)
         out = []
-        for row in self.rows:
-            for k in range(max((len(lines) for _, lines in row), default=0)):
-                at, line = 0, ""
-                for span, lines in row:
-                    line = line.ljust(sum(width[:at]) + 2 * at) if at else line
-                    line += lines[k] if k < len(lines) else ""
-                    at += span
-                    line += "  "
+        for row in rows:
+            for k in range(max((len(lines) for _, _, lines in row), default=0)):
+                line = ""
+                for at, _, lines in row:
+                    line = (line + "  " * bool(line)).ljust(starts[at]) + (lines[k] if k < len(lines) else "")
                 out.append(line.rstrip())
         return out
 
@@ -281,28 +305,36 @@ def _rules(css: str, holds: bool | None = True):
         begin = max(m.end(), at)
 
 
-def _hidden_by_sheets(root: Node) -> set[str]:
-    """Simple selectors (tag, .class, #id) that the page's style sheets do not display on any screen."""
-    out, todo = set(), [root]
+def _by_sheets(root: Node) -> tuple[set[str], dict[str, str]]:
+    """Simple selectors (tag, .class, #id) that the page's style sheets do not display on any screen, and the visibility that
+    they give others."""
+    out, seen, todo = set(), {}, [root]
     while todo:
         node = todo.pop()
         if node.tag == "style" and (holds := _on_screens(node.attributes.get("media", ""))) is not False:
             for names, body, always in _rules("".join(c for c in node.children if isinstance(c, str)), holds):
-                display = _declared(body).get("display")
-                simple = {s.strip() for s in names.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s)} if display else set()
+                declared = _declared(body)
+                display, visibility = declared.get("display"), declared.get("visibility")
+                simple = {s.strip() for s in names.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s)} if declared else set()
                 if display == "none" and always:
                     out |= simple
                 elif display and display != "none":
                     out -= simple
+                if visibility in ("visible", "initial") or visibility in ("hidden", "collapse") and always:
+                    seen |= dict.fromkeys(simple, visibility)
         todo += [c for c in reversed(node.children) if not isinstance(c, str)]
-    return out
+    return out, seen
 
 
 def render(root: Node) -> str:
     """The visible text of a tree."""
-    sheets = _hidden_by_sheets(root)
+    sheets, visibilities = _by_sheets(root)
     writers, tables, lists = [_Lines()], [], []
 
+    def names(node: Node):
+        """The simple selectors that fit a node, weakest first."""
+        return [node.tag, *("." + c for c in node.attributes.get("class", "").split()), "#" + node.attributes.get("id", "")]
+
     def shows(node: Node) -> bool:
         a, tag = node.attributes, node.tag
         if tag in NEVER or tag == "input" or "hidden" in a or (tag == "dialog" and "open" not in a):
@@ -311,7 +343,13 @@ def render(root: Node) -> str:
             return False
         if a and "style" in a and (display := _declared(a["style"]).get("display")):
             return display != "none"
-        return not (sheets and (tag in sheets or ("#" + a.get("id", "")) in sheets or any("." + c in sheets for c in a.get("class", "").split())))
+        return not (sheets and any(n in sheets for n in names(node)))
+
+    def visible(node: Node, seen: bool) -> bool:
+        style = _declared(node.attributes["style"]).get("visibility") if "style" in node.attributes else None
+        if not style and visibilities:
+            style = next((visibilities[n] for n in reversed(names(node)) if n in visibilities), None)
+        return False if style in ("hidden", "collapse") else True if style in ("visible", "initial") else seen
 
     # stack of (node, step): step 0 enters, 1 leaves; seen: visibility; pre: spaces kept
     todo: list = [(root, True, False, 0)]
@@ -326,11 +364,11 @@ def render(root: Node) -> str:
         out = tables[-1].before if tables and tables[-1] is writers[-1] else writers[-1]
         if step:
             if tag in ("td", "th"):
-                span = node.attributes.get("colspan", "1")
+                span, deep = _number(node.attributes.get("colspan", ""), 1), _number(node.attributes.get("rowspan", ""), 1)
                 cell = writers.pop().done()
                 if isinstance(writers[-1], _Table):
                     writers[-1].rows = writers[-1].rows or [[]]
-                    writers[-1].rows[-1].append((min(int(span), 100) if span.isdigit() and int(span) else 1, cell))
+                    writers[-1].rows[-1].append((min(span, 1000) if span > 0 else 1, min(deep, 65534) if deep > 0 else 65534 if deep == 0 else 1, cell))
                 else:
                     for line in cell:
                         writers[-1].text(line)
@@ -358,8 +396,7 @@ def render(root: Node) -> str:
             continue
         if not shows(node):
             continue
-        if "style" in node.attributes and (style := _declared(node.attributes["style"]).get("visibility")):
-            seen = False if style in ("hidden", "collapse") else True if style in ("visible", "initial") else seen
+        seen = visible(node, seen)
         if tag == "br":
             out.line_break()
             continue
@@ -378,8 +415,7 @@ def render(root: Node) -> str:
             writers.append(_Lines())
         elif tag in ("ul", "ol", "menu", "dir"):
             out.block(2 if not lists else 1)
-            start = node.attributes.get("start", "1")
-            lists.append([tag == "ol", int(start) if start.lstrip("-").isdigit() else 1])
+            lists.append([tag == "ol", _number(node.attributes.get("start", ""), 1)])
             out.indent += 2
         elif tag == "li":
             out.block(1)

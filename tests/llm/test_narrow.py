@@ -278,6 +278,12 @@ SHOWN_TOO = [
     ("<style>.x{display:none} @media screen{.x{display:block}}</style><p class=x>a</p>", "a"),
     ("<style media=print>.x{display:none}</style><p class=x>a</p>", "a"),
     ("<style>@media print{.x{&.z{margin:0}} .x{display:none}}</style><p class=x>a</p>", "a"),
+    ("<style>.x{visibility:hidden} #y{visibility:visible}</style><p class=x>a<b id=y>b</b><i style='visibility:visible'>c</i></p>", "bc"),
+    ("<style>@media print{.x{visibility:hidden}} @media (min-width:9px){.y{visibility:hidden}}</style><p class=x>a<p class=y>b", "a\n\nb"),
+    ("<style>@media print{.x{display:none}}</style><p class=x>visible</p>", "visible"),
+    ("<ol start='--5'><li>a</ol><ol start='²'><li>b</ol><ol start='-2x'><li>c</ol>", " 1. a\n\n 1. b\n\n-2. c"[1:].replace("\n 1", "\n1")),
+    ("<table><tr><td colspan='²'>a<td colspan=0>b<td rowspan=x>c<td colspan=99999999999999999999>d</table>", "a  b  c  d"),
+    ("<table><tr><td rowspan=2>long cell<td>b<tr><td>c<tr><td>d<td>e</table>", "long cell  b\n           c\nd          e"),
     ("<style>@media print{@supports (a:b){.x{display:none}}}.y{display:none</style><p class=x>a</p><p class=y>b</p>", "a"),
 ]
 
