@@ -71,9 +71,16 @@ def similarity(cosine) -> Column:
     return F.round(1 - (1 - cosine) / 2, 4)
 
 
+# The leading words of a commit's subject by the type of decision that it stands for.
+DECISION_TYPES = (
+    ("Patch", "fix|bug|patch|hotfix|revert"),
+    ("Implementation", "add|feat|impl|build|create|new|support"),
+    ("Design", "refactor|redesign|move|extract|restructure|rename|clean|drop|remove"),
+    ("Architectural", "arch"),
+)
+
+
 def decision_type(subject) -> Column:
-    """Kind of a commit by its leading verb."""
-    s = F.lower(F.trim(F.col(subject) if isinstance(subject, str) else subject))
-    return (
-        F.when(s.rlike(r"^(fix|bug|hotfix|patch)"), "Bugfix").when(s.rlike(r"^(feat|add|implement|introduce|support)"), "Feature").when(s.rlike(r"^(refactor|clean|simplify|move|rename)"), "Refactor").when(s.rlike(r"^(perf|optimi[sz]e|speed)"), "Performance").otherwise("Change")
-    )
+    """Type of decision of a commit, by how its subject begins; Patch if nothing fits."""
+    s = F.lower(F.col(subject) if isinstance(subject, str) else subject)
+    return F.coalesce(*[F.when(s.rlike(f"^({words})"), kind) for kind, words in DECISION_TYPES], F.lit("Patch"))

@@ -7,12 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 
+#: Items of a key in a block.
+BLOCK = 512
+
 
 def co_occurrence(log: DataFrame, key: str, item: str = "function_id", least: int = 3, ordered: bool = True) -> DataFrame:
     """a, b, n: items that share at least `least` keys, both orders.  Pairs are made once (a < b) and counted before the other
-    order is added, which halves the rows between the join and the aggregate."""
+    order is added, which halves the rows between the join and the aggregate.  The items of a key are dealt to blocks that
+    meet two by two, so that a key with very many items is many tasks' work."""
     own = log.select(F.col(key).alias("k"), F.col(item).alias("a")).distinct()
-    pairs = own.join(own.withColumnRenamed("a", "b"), "k").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    sizes = own.groupBy("k").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("parts"))
+    dealt = own.join(sizes, "k").withColumn("part", F.expr("cast(pmod(xxhash64(a), parts) as int)"))
+    left = dealt.select("k", "a", F.col("part").alias("low"), F.explode(F.expr("sequence(part, parts - 1)")).alias("high"))
+    right = dealt.select("k", F.col("a").alias("b"), F.col("part").alias("high"), F.explode(F.expr("sequence(0, part)")).alias("low"))
+    met = left.join(right, ["k", "low", "high"]).filter("low < high or a < b")
+    pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")) if ordered else pairs
 
 

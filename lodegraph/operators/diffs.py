@@ -16,10 +16,10 @@ def reconcile(old: DataFrame, new: DataFrame, key: str = "id", value: str = "has
 
 
 def fingerprint(symbols: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """by, n_symbols, hash: the first 16 hex digits of sha256 over the sorted rows of a group.  Rows are hashed first, so what
-    a group gathers is 16 digits a row."""
+    """by, n_symbols, hash: the first 16 hex digits of sha256 over the sorted hashes of a group's rows.  Rows are hashed first, so
+    what a group gathers is 16 digits a row."""
     line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    own = symbols.select(by, line.alias("line"))
+    own = symbols.select(by, F.substring(F.sha2(line, 256), 1, 16).alias("line"))
     return own.groupBy(by).agg(F.count(F.lit(1)).alias("n_symbols"), F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256), 1, 16).alias("hash"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..tables import saved
 
 
 def callers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -52,13 +53,14 @@ def resolve_callees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def impact_radius(edges: DataFrame, targets: DataFrame, depth: int = 2, nodes: DataFrame | None = None, forward: bool = False) -> DataFrame:
     """target, id, depth: all that reach a target (or are reached from it, forward) in at most `depth` steps, at their least
     depth; the target itself at 0.  Ids that are no nodes are gone through but not returned.  One join a level, whatever
-    the number of nodes; distances only grow, so cycles end."""
+    the number of nodes; distances only grow, so cycles end.  What a level reaches is saved, so no level is computed twice."""
     step = edges.select(F.col("callee_id").alias("src"), F.col("caller_id").alias("dst")) if not forward else edges.select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"))
-    step = step.distinct()
+    step = saved(step.distinct())
     frontier = targets.select("target", F.col("target").alias("id")).distinct()
     seen = frontier.withColumn("depth", F.lit(0))
     for k in range(1, depth + 1):
         frontier = frontier.join(step, frontier["id"] == step["src"]).select("target", F.col("dst").alias("id")).distinct().join(seen.select("target", "id"), ["target", "id"], "left_anti")
+        frontier = saved(frontier) if k < depth else frontier
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(k)))
     return seen.join(nodes.select("id").distinct(), "id", "left_semi").select("target", "id", "depth") if nodes is not None else seen
 
@@ -68,12 +70,6 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.filter("is_external = 0").join(edges.select(F.col("caller_id").alias("id")), "id", "left_anti").join(edges.select(F.col("callee_id").alias("id")), "id", "left_anti")
 
 
-def siblings(nodes: DataFrame) -> DataFrame:
-    """id, sibling: other nodes below the same parent."""
-    keyed = nodes.select("id", names.parent("id").alias("parent")).filter("parent is not null")
-    return keyed.join(keyed.select(F.col("id").alias("sibling"), "parent"), "parent").filter("id <> sibling").select("id", "sibling")
-
-
 def missing_docstring(nodes: DataFrame, exclude: list[str] | None = None) -> DataFrame:
     """Internal nodes other than classes without a docstring, but for names whose last segment is excluded."""
     own = nodes.filter("type <> 'class' and is_external = 0 and (docstring is null or docstring = '')")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bounds import small
+
 
 def coverage(nodes: DataFrame, vectors: DataFrame, by: str) -> DataFrame:
     """by, expected, actual, missing, percent: how many nodes of a group have a vector."""
@@ -33,7 +35,8 @@ def health(nodes: DataFrame, vectors: DataFrame, edges: DataFrame) -> DataFrame:
 def recent_decisions(decisions: DataFrame, links: DataFrame, n: int = 5) -> DataFrame:
     """The newest n decisions with their functions; the top n is taken before the join."""
     top = decisions.orderBy(F.desc("created_at"), F.desc("decision_id")).limit(n)
-    out = F.broadcast(top).join(links, "decision_id", "left") if n <= 1000 else top.join(links, "decision_id", "left")
+    own = links.join(small(top.select("decision_id")), "decision_id", "left_semi")
+    out = top.join(own, "decision_id", "left")
     return out.groupBy("decision_id", "type", "created_at").agg(F.array_join(F.sort_array(F.collect_list("function_id")), ",").alias("functions"), F.count("function_id").alias("n_functions"))
 
 

@@ -1,4 +1,4 @@
-"""Rules and detectors over bodies (text) and the graph."""
+"""Rules over the graph: responsibilities, contracts, naming."""
 
 from __future__ import annotations
 
@@ -6,16 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from .bounds import small
 
-# Patterns and thresholds of the detectors.
-LOOP = r"(?m)^\s*(async\s+)?(for|while)\b"
-DB_CALL = r"\.(execute|executemany|fetch|fetchall|fetchrow|fetchval|query)\s*\("
-ISINSTANCE = r"isinstance\s*\(\s*\w+\s*,\s*(\w+)\s*\)"
-BUILTIN_TYPES = ("str", "int", "float", "bool", "list", "dict", "tuple", "set", "bytes", "type", "object", "Exception")
-INFRASTRUCTURE = r"(?i)\b(repository|repo|dao|storage|database|db|adapter|gateway|infra|infrastructure|migrations?)\b"
-RAW_ACCESS = r"\b(psycopg2|asyncpg|sqlite3|requests|httpx|boto3|redis)\b"
+# Thresholds.
 SRP = {"medium": 3, "high": 4}
-OCP = {"medium": 3, "high": 5}
 
 
 def single_responsibility(edges: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -27,41 +21,6 @@ def single_responsibility(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.withColumn("severity", F.when(F.col("n_subsystems") >= SRP["high"], "high").otherwise("medium"))
 
 
-def open_closed(bodies: DataFrame) -> DataFrame:
-    """id, n_types, severity: bodies that test for three or more types of their own."""
-    types = F.array_except(F.array_distinct(F.regexp_extract_all("body", F.lit(ISINSTANCE), F.lit(1))), F.array(*map(F.lit, BUILTIN_TYPES)))
-    out = bodies.select("id", F.size(types).cast("long").alias("n_types")).filter(F.col("n_types") >= OCP["medium"])
-    return out.withColumn("severity", F.when(F.col("n_types") >= OCP["high"], "high").otherwise("medium"))
-
-
-def dependency_inversion(bodies: DataFrame) -> DataFrame:
-    """id, n_accesses, severity: raw access to infrastructure outside modules of that kind."""
-    own = bodies.filter(~F.col("module").rlike(INFRASTRUCTURE))
-    found = F.array_distinct(F.regexp_extract_all("body", F.lit(RAW_ACCESS), F.lit(1)))
-    out = own.select("id", F.size(found).cast("long").alias("n_accesses")).filter("n_accesses >= 1")
-    return out.withColumn("severity", F.when(F.col("n_accesses") >= 2, "high").otherwise("medium"))
-
-
-def n_plus_one(bodies: DataFrame, edges: DataFrame) -> DataFrame:
-    """id: bodies with a loop that reach a database call within two calls."""
-    loops = bodies.filter(F.col("body").rlike(LOOP)).select("id")
-    sinks = bodies.filter(F.col("body").rlike(DB_CALL)).select("id")
-    step = edges.select("caller_id", "callee_id").distinct()
-    one = loops.join(step, F.col("id") == F.col("caller_id")).select("id", "callee_id")
-    two = one.join(step.select(F.col("caller_id").alias("callee_id"), F.col("callee_id").alias("far")), "callee_id").select("id", F.col("far").alias("callee_id"))
-    return one.unionByName(two).distinct().join(sinks.select(F.col("id").alias("callee_id")), "callee_id", "left_semi").select("id").distinct()
-
-
-def sequential_awaits(bodies: DataFrame) -> DataFrame:
-    """id, n_pairs: neighbouring awaits whose second does not use the first's variable, in bodies without gather."""
-    text = F.col("body")
-    found = F.regexp_extract_all(text, F.lit(r"(?m)^\s*(\w+)\s*=\s*await\s+[^\n]+"), F.lit(0))
-    names_ = F.regexp_extract_all(text, F.lit(r"(?m)^\s*(\w+)\s*=\s*await\s+[^\n]+"), F.lit(1))
-    own = bodies.filter(~F.contains(text, F.lit("gather("))).select("id", found.alias("f"), names_.alias("v")).filter(F.size("f") >= 2)
-    independent = F.filter(F.sequence(F.lit(0), F.size("f") - 2), lambda i: ~F.regexp_like(F.get("f", i + 1), F.concat(F.lit(r"=\s*await\s+.*\b"), F.get("v", i), F.lit(r"\b"))))
-    return own.select("id", F.size(independent).cast("long").alias("n_pairs")).filter("n_pairs > 0")
-
-
 def contract_violations(contracts: DataFrame, reach: DataFrame) -> DataFrame:
     """contract_id, id, callee: what a function reaches against a rule.  contracts: contract_id, pattern, required,
     exclusions (array of prefixes); reach: id, callee.  A pattern x.* takes ids below x, a dotted one the id itself, a bare one
@@ -73,7 +32,7 @@ def contract_violations(contracts: DataFrame, reach: DataFrame) -> DataFrame:
         (last == F.col("pattern")) | F.startswith(last, F.concat(F.col("pattern"), F.lit("_"))) | F.endswith(last, F.concat(F.lit("_"), F.col("pattern")))
     )
     excluded = F.exists("exclusions", lambda p: F.startswith(F.lower("id"), F.lower(p)))
-    rules = F.broadcast(contracts)  # written by people: a bounded set
+    rules = small(contracts)
     hits = reach.join(rules, hit & ~excluded).select("contract_id", "id", "callee")
     cleared = reach.join(rules.filter("required is not null"), F.col("callee") == F.col("required")).select("contract_id", "id").distinct()
     return hits.distinct().join(cleared, ["contract_id", "id"], "left_anti")
@@ -87,36 +46,9 @@ def naming(results: DataFrame) -> DataFrame:
     return top.select("query_id", F.col("m.verb").alias("verb"), F.round(-F.col("m.k") / F.col("total"), 4).alias("share")).filter("share >= 0.6")
 
 
-def design_patterns(methods: DataFrame, inherits: DataFrame) -> DataFrame:
-    """class_id, pattern, confidence.  methods: class_id, method, body, decorators (array); inherits: sub, base.  Singleton (an
-    instance accessor), observer (two of notify, attach, detach), template method (an abstract hook that a sibling calls), strategy (a base
-    of at most three abstract methods with two subclasses or more), composite (add and remove over children)."""
-    own = methods.withColumn("is_abstract", F.array_contains("decorators", "abstractmethod") | F.col("body").rlike(r"(?m)^\s*raise\s+NotImplementedError\b"))
-    single = own.filter(F.col("method").rlike(r"^(get_instance|instance|__new__)$") & F.col("body").rlike(r"_instance\b")).select("class_id", F.lit("singleton").alias("pattern"), F.lit(0.80).alias("confidence")).distinct()
-    kinds = F.when(F.col("method").rlike("^(notify|emit|publish)"), "n").when(F.col("method").rlike("^(attach|subscribe|register|add_observer|add_listener)"), "a").when(F.col("method").rlike("^(detach|unsubscribe|unregister|remove_observer|remove_listener)"), "d")
-    observer = own.withColumn("k", kinds).filter("k is not null").groupBy("class_id").agg(F.count_distinct("k").alias("n")).filter("n >= 2").select("class_id", F.lit("observer").alias("pattern"), F.round(0.75 + 0.08 * F.col("n"), 2).alias("confidence"))
-    hooks = own.filter("is_abstract").select("class_id", F.col("method").alias("hook"))
-    template = own.filter("not is_abstract").join(hooks, "class_id").filter(F.contains("body", F.concat(F.lit("self."), F.col("hook"), F.lit("(")))).select("class_id", F.lit("template_method").alias("pattern"), F.lit(0.85).alias("confidence")).distinct()
-    shapes = own.groupBy("class_id").agg(F.count_if("is_abstract").alias("n_abstract"))
-    subs = inherits.groupBy(F.col("base").alias("class_id")).agg(F.count_distinct("sub").alias("n_subs"))
-    strategy = shapes.join(subs, "class_id").filter("n_abstract between 1 and 3 and n_subs >= 2").select("class_id", F.lit("strategy").alias("pattern"), F.lit(0.78).alias("confidence"))
-    parts = own.filter(F.col("body").rlike(r"self\.(_?children|_?components|_?items)\b")).groupBy("class_id").agg(F.max(F.col("method").rlike("^add")).alias("adds"), F.max(F.col("method").rlike("^remove")).alias("removes"))
-    composite = parts.filter("adds and removes").select("class_id", F.lit("composite").alias("pattern"), F.lit(0.80).alias("confidence"))
-    makes = own.filter(F.col("method").rlike("^(create|make|build)_?")).groupBy("class_id").agg(F.max("is_abstract").alias("abstract"), F.count_if("is_abstract").alias("n"))
-    factory = makes.filter("abstract and n = 1").select("class_id", F.lit("factory_method").alias("pattern"), F.lit(0.90).alias("confidence"))
-    abstract = makes.filter("n >= 2").select("class_id", F.lit("abstract_factory").alias("pattern"), F.lit(0.88).alias("confidence"))
-    visitor = own.filter(F.col("method").rlike("^visit_")).groupBy("class_id").agg(F.count_distinct("method").alias("n")).filter("n >= 2").select("class_id", F.lit("visitor").alias("pattern"), F.lit(0.90).alias("confidence"))
-    chain = own.filter(F.col("body").rlike(r"self\.(_?next|_?successor|_?next_handler)\b")).filter(F.contains("body", F.concat(F.lit("."), F.col("method"), F.lit("(")))).select("class_id", F.lit("chain_of_responsibility").alias("pattern"), F.lit(0.85).alias("confidence")).distinct()
-    wraps = own.filter(F.col("body").rlike(r"self\.(_?wrapped|_?component|_?inner|_?delegate)\.")).select("class_id").distinct().join(inherits.select(F.col("sub").alias("class_id"), "base"), "class_id").select("class_id", F.lit("decorator").alias("pattern"), F.lit(0.82).alias("confidence")).distinct()
-    out = single
-    for x in (observer, template, strategy, composite, factory, abstract, visitor, chain, wraps):
-        out = out.unionByName(x)
-    return out
-
-
 def missing_visits(methods: DataFrame, elements: DataFrame) -> DataFrame:
     """class_id, element: what a visitor does not visit.  elements: element, a bounded set of names; methods: class_id, method."""
     visitors = methods.filter(F.col("method").rlike("^visit_")).select("class_id").distinct()
-    wanted = visitors.crossJoin(F.broadcast(elements.select("element").distinct()))
+    wanted = visitors.crossJoin(small(elements.select("element").distinct()))
     done = methods.select("class_id", F.regexp_extract("method", "^visit_(.+)$", 1).alias("element")).distinct()
     return wanted.join(done, ["class_id", "element"], "left_anti")

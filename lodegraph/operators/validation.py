@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from . import rules as R
+from . import detectors as D
 
 # What a deviation costs, and when a module counts as async or sync first.
 COST = {"high": 0.25, "medium": 0.15, "low": 0.05}
@@ -29,13 +29,13 @@ def deviations(drafts: DataFrame, existing: DataFrame) -> DataFrame:
     """draft_id, check, severity: one row a check that a draft fails.  drafts: draft_id, module, name, is_async, body; one row a
     function.  Modules are joined by name, so a draft for a new module is only judged by its bodies."""
     own = drafts.join(conventions(existing), "module", "left")
-    awaits = R.sequential_awaits(drafts.filter("is_async = 1").select(F.struct("draft_id", "name").alias("id"), "body")).select(F.col("id.draft_id").alias("draft_id"))
+    awaits = D.sequential_awaits(drafts.filter("is_async = 1").select(F.struct("draft_id", "name").alias("id"), "body")).select(F.col("id.draft_id").alias("draft_id"))
     found = [
         own.filter(F.col("verb").isNotNull() & (_verb("name") != F.col("verb"))).select("draft_id", F.lit("naming").alias("check"), F.lit("medium").alias("severity")),
         own.filter((F.col("async_share") > ASYNC_FIRST) & (F.col("is_async") == 0)).select("draft_id", F.lit("async").alias("check"), F.lit("high").alias("severity")),
         own.filter((F.col("async_share") < SYNC_FIRST) & (F.col("is_async") == 1)).select("draft_id", F.lit("async").alias("check"), F.lit("medium").alias("severity")),
         awaits.select("draft_id", F.lit("sequential_awaits").alias("check"), F.lit("high").alias("severity")),
-        drafts.filter(F.col("body").rlike(R.LOOP) & F.col("body").rlike(R.DB_CALL)).select("draft_id", F.lit("n_plus_one").alias("check"), F.lit("high").alias("severity")),
+        drafts.filter(D.has_loop() & F.col("body").rlike(D.DB_SINK)).select("draft_id", F.lit("n_plus_one").alias("check"), F.lit("high").alias("severity")),
     ]
     out = found[0]
     for x in found[1:]:

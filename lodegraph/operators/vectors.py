@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from .bounds import small
+
+#: Most queries that go to every task.
+QUERIES = 1_000
 
 
 def unit(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -16,8 +20,10 @@ def unit(df: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, rank, id, similarity: the exact k nearest of each query by cosine, ties to the lesser id.  The queries are a
-    given, bounded set, so they go to every task and the vectors are not shuffled; each task keeps k rows a query."""
+    """query_id, rank, id, similarity: the exact k nearest of each query by cosine, ties to the lesser id.  For a few queries: they
+    go to every task, the vectors are not shuffled, and each task keeps k rows a query.  More are an error; see knn_blocks."""
+    if queries.limit(QUERIES + 1).count() > QUERIES:
+        raise ValueError(f"more than {QUERIES} queries; knn_blocks takes any number")
     q = unit(queries).select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("len").alias("ql"))
     both = unit(vectors).select("id", "v", "len").join(F.broadcast(q), F.col("id") != F.col("query_id"))
     scored = both.select("query_id", "id", (names.dot("qv", "v") / (F.col("ql") * F.col("len"))).alias("cosine"))
@@ -76,8 +82,8 @@ def keyword_rank(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     query_id, term.  Terms are a given, bounded set; the documents are read once and only hits are shuffled."""
     many = queries.distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
     words = docs.select("id", F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("term"))
-    tf = words.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    hits = tf.join(F.broadcast(queries.distinct()), "term").groupBy("query_id", "id").agg(F.sum("tf").alias("score"), F.count(F.lit(1)).alias("n")).join(F.broadcast(many), "query_id").filter("n = n_terms")
+    tf = words.join(small(queries.select("term").distinct()), "term", "left_semi").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = tf.join(small(queries.distinct()), "term").groupBy("query_id", "id").agg(F.sum("tf").alias("score"), F.count(F.lit(1)).alias("n")).join(small(many), "query_id").filter("n = n_terms")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return hits.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "id", "rank")
 
@@ -96,7 +102,7 @@ def semantic_check(snippets: DataFrame, examples: DataFrame, threshold: float =
     """id, violation, compliance, violates: the greatest similarity to either kind of example; a violation is near a bad
     example and not near a good one.  examples: example_id, kind (violation, compliance), embedding; a bounded set."""
     e = unit(examples).select("kind", F.col("v").alias("ev"), F.col("len").alias("el"))
-    both = unit(snippets).select("id", "v", "len").crossJoin(F.broadcast(e))
+    both = unit(snippets).select("id", "v", "len").crossJoin(small(e))
     sim = names.similarity(names.dot("v", "ev") / (F.col("len") * F.col("el")))
     out = both.select("id", "kind", sim.alias("s")).groupBy("id").agg(F.max(F.when(F.col("kind") == "violation", F.col("s"))).alias("violation"), F.max(F.when(F.col("kind") == "compliance", F.col("s"))).alias("compliance"))
     return out.withColumn("violates", (F.coalesce("violation", F.lit(0.0)) >= threshold) & (F.coalesce("compliance", F.lit(0.0)) < threshold))

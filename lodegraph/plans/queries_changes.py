@@ -78,7 +78,7 @@ select coalesce(a.id, b.id) as id, case when a.id is null then 'added' when b.id
     ),
     "fingerprint_hash": (
         lambda s, d: D.fingerprint(V.nodes(s, d).filter("is_external = 1"), "module", ["id", "type"]),
-        V.with_views("select module, count(*) as n_symbols, substr(sha256(string_agg(id || '|' || type, chr(10) order by id || '|' || type)), 1, 16) as hash from nodes where is_external = 1 group by module"),
+        V.with_views("select module, count(*) as n_symbols, substr(sha256(string_agg(substr(sha256(id || '|' || type), 1, 16), chr(10) order by substr(sha256(id || '|' || type), 1, 16))), 1, 16) as hash from nodes where is_external = 1 group by module"),
     ),
     "fingerprint_diff": (
         lambda s, d: D.reconcile(

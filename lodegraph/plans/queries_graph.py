@@ -9,7 +9,7 @@ from ..operators import architecture as A
 from ..operators import graph as G
 from . import views as V
 
-_IMPACT = """, seeds as (select id as target from part_nodes where p_size = 7 and p_partkey % 10 = 3),
+_IMPACT = """, seeds as (select id as target from part_nodes),
 reach(target, id, depth) as (
   select target, target, 0 from seeds
   union
@@ -19,7 +19,7 @@ select target, id, cast(min(depth) as int) as depth from reach where id in (sele
 
 
 def _seeds(s, d):
-    return V.part_nodes(s, d).filter("p_size = 7 and p_partkey % 10 = 3").select(F.col("id").alias("target"))
+    return V.part_nodes(s, d).select(F.col("id").alias("target"))
 
 
 def _resolution(s, d):
@@ -73,10 +73,6 @@ sfx as (select array_to_string(list_slice(string_split(id, '.'), i, 99), '.') as
 select coalesce(n.id, s.only, callee) as callee_id, count(*) as n from bare left join nodes n on n.id = callee left join sfx s on s.suffix = callee group by 1"""
         ),
     ),
-    "class_siblings": (
-        lambda s, d: G.siblings(V.nodes(s, d)).groupBy("id").agg(F.count(F.lit(1)).alias("n_siblings")),
-        V.with_views("select a.id, count(*) as n_siblings from nodes a join nodes b on a.module = b.module and a.id <> b.id group by a.id"),
-    ),
     "missing_docstring": (
         lambda s, d: G.missing_docstring(V.nodes(s, d), ["customer#000000001"]).select("id"),
         V.with_views("select id from nodes where type <> 'class' and is_external = 0 and docstring = '' and lower(name) <> 'customer#000000001'"),
@@ -84,10 +80,6 @@ select coalesce(n.id, s.only, callee) as callee_id, count(*) as n from bare left
     "impact_radius": (lambda s, d: G.impact_radius(V.part_edges(s, d), _seeds(s, d), 2, V.part_nodes(s, d)), V.with_views(_IMPACT.format(to="caller_id", by="callee_id", depth=2), True)),
     "find_dependents": (lambda s, d: G.impact_radius(V.part_edges(s, d), _seeds(s, d), 3, V.part_nodes(s, d)), V.with_views(_IMPACT.format(to="caller_id", by="callee_id", depth=3), True)),
     "forward_reach": (lambda s, d: G.impact_radius(V.part_edges(s, d), _seeds(s, d), 2, V.part_nodes(s, d), forward=True), V.with_views(_IMPACT.format(to="callee_id", by="caller_id", depth=2), True)),
-    "orphans": (
-        lambda s, d: G.orphans(V.nodes(s, d), V.edges(s, d)).select("id"),
-        V.with_views("select id from nodes n where is_external = 0 and not exists (select 1 from edges where caller_id = n.id) and not exists (select 1 from edges where callee_id = n.id)"),
-    ),
     "subsystems": (lambda s, d: _mapping(s, d).groupBy("subsystem").agg(F.count(F.lit(1)).alias("n")), V.with_views(_MAP + " select subsystem, count(*) as n from mapping group by subsystem")),
     "subsystem_anchors": (
         lambda s, d: A.subsystem_anchors(V.nodes(s, d), G.caller_counts(V.edges(s, d)), A.subsystem_map(V.nodes(s, d), 10**6)),

@@ -14,37 +14,19 @@ from . import views as V
 CONTRACTS = (("c1", "nterti", None, ["zz"]), ("c2", "Brand1.*", "Brand2.LARGE.p1", ["brand3"]), ("c3", "p7", None, ["brand1."]))
 
 
-def _bodies(s, d):
-    """Documents as bodies: code is woven from their ids, since the texts hold none."""
-    t = V.table(s, d, "documents").select(F.col("doc_id").alias("n"))
-    line = lambda cond, text: F.when(F.expr(cond), text)
-    body = F.concat_ws(
-        "\n", F.lit("def f(self):"), line("n % 3 = 0", "    for x in rows:"), line("n % 5 = 0", "        conn.fetch(x)"), line("n % 2 = 0", "    isinstance(x, Alpha)"), line("n % 4 = 0", "    isinstance(x, Beta)"),
-        line("n % 6 = 0", "    isinstance(x, Gamma) or isinstance(x, str)"), line("n % 7 = 0", "    import requests"), line("n % 14 = 0", "    redis.get(x)"), line("n % 10 = 1", "    a = await g(1)\n    b = await g(2)"), line("n % 20 = 1", "    c = await g(b)"),
-    )
-    return t.select(F.concat(F.lit("m.f"), F.col("n").cast("string")).alias("id"), "n", F.when(F.col("n") % 21 == 0, "app.storage.x").otherwise("app.web.x").alias("module"), body.alias("body"))
-
-
-def _body_edges(s, d):
-    b = V.table(s, d, "documents").select("doc_id")
-    to = lambda k: b.select(F.concat(F.lit("m.f"), F.col("doc_id").cast("string")).alias("caller_id"), F.concat(F.lit("m.f"), (F.col("doc_id") * k + 1).cast("string")).alias("callee_id"))
-    return to(2).unionByName(to(3))
-
-
-_N1 = """with b as (select doc_id as n from documents), e as (select n as a, n * 2 + 1 as b from b union select n, n * 3 + 1 from b),
-r as (select a, b from e union select x.a, y.b from e x join e y on x.b = y.a)
-select distinct 'm.f' || a as id from r join b on b.n = r.b where a % 3 = 0 and b.n % 5 = 0"""
-
-
 def _contracts(s, d):
     rules = s.createDataFrame(CONTRACTS, "contract_id string, pattern string, required string, exclusions array<string>")
-    seeds = V.part_nodes(s, d).filter("p_size = 7").select(F.col("id").alias("target"))
+    seeds = V.part_nodes(s, d).select(F.col("id").alias("target"))
     reach = G.impact_radius(V.part_edges(s, d), seeds, 2, forward=True).filter("depth > 0").select(F.col("target").alias("id"), F.col("id").alias("callee"))
     return R.contract_violations(rules, reach)
 
 
+_SUBJECTS = ("Fix a", "add b", "Refactor c", "architecture of d", "misc", "Revert e", "newer f", "drop g")
+
+
 def _commits(s, d):
-    return C.classify_commits(V.table(s, d, "part").select(F.col("p_partkey").alias("commit_hash"), F.element_at(F.array(*map(F.lit, ("Fix a", "add b", "Refactor c", "speed d", "misc"))), (F.col("p_partkey") % 5 + 1).cast("int")).alias("subject"))).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    subject = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, _SUBJECTS)), (F.col("p_partkey") % len(_SUBJECTS) + 1).cast("int")), "p_name")
+    return C.classify_commits(V.table(s, d, "part").select(F.col("p_partkey").alias("commit_hash"), subject.alias("subject"))).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _vectors_of_customers(s, d):
@@ -61,23 +43,10 @@ QUERIES = {
         V.with_views("""select caller_id as id, count(distinct b) as n_subsystems, case when count(distinct b) >= 4 then 'high' else 'medium' end as severity from (
   select caller_id, split_part(caller_id, '.', 1) || '.' || split_part(caller_id, '.', 2) as a, split_part(callee_id, '.', 1) || '.' || split_part(callee_id, '.', 2) as b from part_edges) where a <> b group by 1 having count(distinct b) >= 3"""),
     ),
-    "solid_ocp": (
-        lambda s, d: R.open_closed(_bodies(s, d)),
-        "select 'm.f' || doc_id as id, cast(3 as bigint) as n_types, 'medium' as severity from documents where doc_id % 12 = 0",
-    ),
-    "solid_dip": (
-        lambda s, d: R.dependency_inversion(_bodies(s, d)),
-        "select 'm.f' || doc_id as id, case when doc_id % 14 = 0 then cast(2 as bigint) else 1 end as n_accesses, case when doc_id % 14 = 0 then 'high' else 'medium' end as severity from documents where doc_id % 7 = 0 and doc_id % 21 <> 0",
-    ),
-    "n_plus_one": (lambda s, d: R.n_plus_one(_bodies(s, d), _body_edges(s, d)), _N1),
-    "sequential_awaits": (
-        lambda s, d: R.sequential_awaits(_bodies(s, d)),
-        "select 'm.f' || doc_id as id, cast(1 as bigint) as n_pairs from documents where doc_id % 10 = 1",
-    ),
     "contract_check": (
         _contracts,
         V.with_views(
-            """, reach(target, id, depth) as (select id, id, 0 from part_nodes where p_size = 7 union select r.target, e.callee_id, r.depth + 1 from reach r join part_edges e on e.caller_id = r.id where depth < 2),
+            """, reach(target, id, depth) as (select id, id, 0 from part_nodes union select r.target, e.callee_id, r.depth + 1 from reach r join part_edges e on e.caller_id = r.id where depth < 2),
 r as (select distinct target as id, id as callee from reach where id <> target)
 select 'c2' as contract_id, id, callee from r where starts_with(callee, 'Brand1.') and not starts_with(lower(id), 'brand3') and id not in (select id from r where callee = 'Brand2.LARGE.p1')
 union all select 'c3', id, callee from r where split_part(callee, '.', 3) = 'p7' and not starts_with(lower(id), 'brand1.')""",
@@ -85,13 +54,15 @@ union all select 'c3', id, callee from r where split_part(callee, '.', 3) = 'p7'
         ),
     ),
     "naming_signal": (
-        lambda s, d: R.naming(V.table(s, d, "part").select(F.col("p_size").alias("query_id"), F.translate("p_name", " ", "_").alias("name"))),
-        """with c as (select p_size as query_id, regexp_extract(lower(p_name), '^_*([a-z]+)', 1) as verb, count(*) as n from part group by all)
+        lambda s, d: R.naming(V.table(s, d, "part").select(F.expr("p_partkey div 3").alias("query_id"), F.translate("p_name", " ", "_").alias("name"))),
+        """with c as (select p_partkey // 3 as query_id, regexp_extract(lower(p_name), '^_*([a-z]+)', 1) as verb, count(*) as n from part group by all)
 select query_id, verb, share from (select query_id, verb, round(n / sum(n) over (partition by query_id), 4) as share, row_number() over (partition by query_id order by n desc, verb) as k from c) where k = 1 and share >= 0.6""",
     ),
     "commit_types": (
         _commits,
-        "select case p_partkey % 5 when 0 then 'Bugfix' when 1 then 'Feature' when 2 then 'Refactor' when 3 then 'Performance' else 'Change' end as type, count(*) as n from part group by 1",
+        f"""select case when regexp_matches(s, '^(fix|bug|patch|hotfix|revert)') then 'Patch' when regexp_matches(s, '^(add|feat|impl|build|create|new|support)') then 'Implementation'
+  when regexp_matches(s, '^(refactor|redesign|move|extract|restructure|rename|clean|drop|remove)') then 'Design' when starts_with(s, 'arch') then 'Architectural' else 'Patch' end as type, count(*) as n
+from (select lower(({list(_SUBJECTS)})[p_partkey % {len(_SUBJECTS)} + 1] || ' ' || p_name) as s from part) group by 1""",
     ),
     "path_modules": (
         lambda s, d: V.nodes(s, d).select(names.module_of("file").alias("module")).groupBy("module").agg(F.count(F.lit(1)).alias("n")),
@@ -140,11 +111,4 @@ select project_id, n_nodes, n_internal, n_vectors, n_documented, coalesce(n_call
         lambda s, d: V.table(s, d, "documents").join(V.table(s, d, "labels"), "doc_id", "left").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count("toxic").alias("labelled"), F.count_if(F.col("quality") == 1).alias("good")),
         "select lang, count(*) as n, count(toxic) as labelled, count(*) filter (where quality = 1) as good from documents left join labels using (doc_id) group by 1",
     ),
-    "findings_by_pattern": (
-        lambda s, d: _bodies(s, d).select("id", "module", F.explode(F.filter(F.array(F.when(F.col("body").rlike(R.LOOP), "loop"), F.when(F.col("body").rlike(R.DB_CALL), "db_call"), F.when(F.col("body").rlike(R.RAW_ACCESS), "raw_access")), lambda x: x.isNotNull())).alias("pattern")).groupBy("pattern").agg(
-            F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("module")), ",").alias("modules")
-        ),
-        """select pattern, count(*) as n, string_agg(distinct module, ',' order by module) as modules from (select case when doc_id % 21 = 0 then 'app.storage.x' else 'app.web.x' end as module, unnest(list_filter([
-  case when doc_id % 3 = 0 then 'loop' end, case when doc_id % 5 = 0 then 'db_call' end, case when doc_id % 7 = 0 then 'raw_access' end], lambda x: x is not null)) as pattern from documents) group by 1""",
-    ),
 }

@@ -9,8 +9,7 @@ from ..operators import architecture as A
 from ..operators import vectors as S
 from . import views as V
 
-#: The stated queries: vectors and keyword pairs.
-ASKED = "vec_id < 20"
+#: The stated keyword pairs; the vectors asked are all whose id is divisible by 20.
 TERMS = ((0, "the"), (0, "of"), (1, "that"), (1, "with"), (2, "le"), (2, "de"))
 
 
@@ -19,10 +18,6 @@ def _vectors(s, d):
 
 
 def _asked(s, d):
-    return V.table(s, d, "embeddings").filter(ASKED).select(F.col("vec_id").alias("id"), "embedding")
-
-
-def _asked_all(s, d):
     """Every row whose id is divisible by 20."""
     return V.table(s, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), "embedding")
 
@@ -33,21 +28,14 @@ def _terms(s):
 
 _COS = "list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(a.e, lambda x: x * x))) * sqrt(list_sum(list_transform(b.e, lambda x: x * x))))"
 _VEC = "with v as (select vec_id as id, list_transform(embedding, lambda x: cast(x as double)) as e, label from embeddings)"
-_KNN = f"""{_VEC}, sem as (select * from (select a.id as query_id, b.id, {_COS} as c, row_number() over (partition by a.id order by round({_COS}, 9) desc, b.id) as rank from v a, v b where a.id < 20 and a.id <> b.id) where rank <= {{k}})"""
-_KNN_ALL = _KNN.replace("a.id < 20", "a.id % 20 = 0")
+_KNN = f"""{_VEC}, sem as (select * from (select a.id as query_id, b.id, {_COS} as c, row_number() over (partition by a.id order by round({_COS}, 9) desc, b.id) as rank from v a, v b where a.id % 20 = 0 and a.id <> b.id) where rank <= {{k}})"""
 _KW = f"""words as (select doc_id as id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as term from documents), terms(query_id, term) as (values {", ".join(map(repr, TERMS))}),
 kw as (select query_id, id, rank from (select query_id, id, row_number() over (partition by query_id order by sum(tf) desc, id) as rank, count(*) as n
   from (select id, term, count(*) as tf from words where term in (select term from terms) group by all) join terms using (term) group by query_id, id having count(*) = 2) where rank <= {{k}})"""
 
 
 def _hybrid(s, d):
-    semantic = S.knn(_vectors(s, d), _asked(s, d).filter("id < 3"), 40)
-    keyword = S.keyword_rank(V.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), _terms(s), 40)
-    return S.fuse(semantic, keyword, 10)
-
-
-def _hybrid_all(s, d):
-    semantic = S.knn_blocks(_vectors(s, d), _asked_all(s, d), 40)
+    semantic = S.knn_blocks(_vectors(s, d), _asked(s, d), 40)
     keyword = S.keyword_rank(V.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), _terms(s), 40)
     return S.fuse(semantic, keyword, 10)
 
@@ -61,14 +49,7 @@ def _examples(s, d):
 
 
 QUERIES = {
-    "knn": (lambda s, d: S.knn(_vectors(s, d), _asked(s, d), 10), _KNN.format(k=10) + " select query_id, rank, id, round(1 - (1 - c) / 2, 4) as similarity from sem"),
     "keyword_search": (lambda s, d: S.keyword_rank(V.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), _terms(s), 20), "with " + _KW.format(k=20) + " select query_id, id, rank from kw"),
-    "hybrid_search": (
-        _hybrid,
-        _KNN.format(k=40) + ", " + _KW.format(k=40) + """ select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from (
-  select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.id, b.id) as id, round(coalesce(1.0 / (60 + a.rank), cast(0 as double)) + coalesce(1.0 / (60 + b.rank), cast(0 as double)), 8) as score
-  from (select * from sem where query_id < 3) a full join kw b on a.query_id = b.query_id and a.id = b.id)) where rank <= 10""",
-    ),
     "centroids": (
         lambda s, d: S.centroids(_vectors(s, d)).select("label", "position", F.round("value", 6).alias("value")),
         f"""{_VEC}, m as (select label, i - 1 as position, avg(e[i]) as m from v, range(1, 65) t(i) group by all), l as (select label, sqrt(sum(m * m)) as len from m group by 1)
@@ -90,23 +71,16 @@ select id, violation, compliance, violation >= 0.55 and compliance < 0.55 as vio
         lambda s, d: V.nodes(s, d).select("id", names.short_hash(F.concat_ws("\n", F.concat(F.lit("def "), "name"), F.nullif(F.col("docstring"), F.lit("")), F.substring("module", 1, 2000))).alias("text_hash")),
         V.with_views("select id, substr(sha256('def ' || name || case when docstring <> '' then chr(10) || docstring else '' end || chr(10) || module), 1, 16) as text_hash from nodes"),
     ),
-    "concentration": (
-        lambda s, d: A.concentration(S.knn(_vectors(s, d), _asked(s, d), 10).join(V.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("module")), "id"), 0.3),
-        _KNN.format(k=10)
-        + """ select query_id, module, round(n / total, 4) as share, round(n / total, 4) >= 0.3 as fires from (select query_id, cast(label as varchar) as module, count(*) as n, sum(count(*)) over (partition by query_id) as total,
-  row_number() over (partition by query_id order by count(*) desc, cast(label as varchar)) as k from sem join embeddings on vec_id = id group by query_id, label) where k = 1""",
-    ),
-    # The searches for every twentieth row, in blocks.
-    "knn_all": (lambda s, d: S.knn_blocks(_vectors(s, d), _asked_all(s, d), 10), _KNN_ALL.format(k=10) + " select query_id, rank, id, round(1 - (1 - c) / 2, 4) as similarity from sem"),
-    "hybrid_search_all": (
-        _hybrid_all,
-        _KNN_ALL.format(k=40) + ", " + _KW.format(k=40) + """ select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from (
+    "knn": (lambda s, d: S.knn_blocks(_vectors(s, d), _asked(s, d), 10), _KNN.format(k=10) + " select query_id, rank, id, round(1 - (1 - c) / 2, 4) as similarity from sem"),
+    "hybrid_search": (
+        _hybrid,
+        _KNN.format(k=40) + ", " + _KW.format(k=40) + """ select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from (
   select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.id, b.id) as id, round(coalesce(1.0 / (60 + a.rank), cast(0 as double)) + coalesce(1.0 / (60 + b.rank), cast(0 as double)), 8) as score
   from sem a full join kw b on a.query_id = b.query_id and a.id = b.id)) where rank <= 10""",
     ),
-    "concentration_all": (
-        lambda s, d: _concentration(s, d, S.knn_blocks(_vectors(s, d), _asked_all(s, d), 10)),
-        _KNN_ALL.format(k=10)
+    "concentration": (
+        lambda s, d: _concentration(s, d, S.knn_blocks(_vectors(s, d), _asked(s, d), 10)),
+        _KNN.format(k=10)
         + """ select query_id, module, round(n / total, 4) as share, round(n / total, 4) >= 0.3 as fires from (select query_id, cast(label as varchar) as module, count(*) as n, sum(count(*)) over (partition by query_id) as total,
   row_number() over (partition by query_id order by count(*) desc, cast(label as varchar)) as k from sem join embeddings on vec_id = id group by query_id, label) where k = 1""",
     ),

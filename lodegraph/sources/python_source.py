@@ -1,7 +1,8 @@
 """Source files to nodes and call edges.
 
 Python goes through the standard library's parser; other languages through patterns for functions, classes and calls, marked
-structural_layer = 'generic'.  One narrow pass over (path, content) rows; files that cannot be parsed give no rows.
+structural_layer = 'generic'.  One narrow pass over (path, content) rows; a file that cannot be parsed gives one row of kind
+`failed`.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Extensions, directories that are not walked, body limit.
+# Extensions, directories that are not walked, body limit, the order in which a project's language is decided, and what
+# an index run takes.
 EXTENSIONS = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".go": "go", ".rs": "rust", ".java": "java", ".rb": "ruby", ".cs": "csharp", ".cpp": "cpp", ".swift": "swift", ".kt": "kotlin", ".php": "php"}
-SKIPPED = r"(^|/)(\.git|node_modules|__pycache__|\.venv|venv|dist|build|target)(/|$)"
+SKIPPED = r"/(\.git|\.venv|venv|node_modules|__pycache__|\.mypy_cache|dist|build|\.next|\.nuxt|\.svelte-kit|\.turbo|out|\.output)/"
 BODY = 2000
-#: Languages by priority when a project holds several.
-PRIORITY = ("python", "typescript", "javascript", "go", "rust", "java", "ruby", "csharp", "cpp", "swift", "kotlin", "php")
+PRIORITY = ("python", "typescript", "javascript", "java", "rust", "go", "csharp", "cpp", "ruby", "swift", "kotlin", "php")
+FUNCTION_FACTOR, SECONDS_LOW, SECONDS_HIGH, SECONDS_CLASS, SECONDS_LEAST = 1.3, 0.025, 0.085, 0.005, 5
 SCHEMA = "kind string, id string, name string, module string, file string, type string, signature string, docstring string, body string, body_hash string, decorators array<string>, is_async int, parameter_names array<string>, enclosing_class string, start_line int, end_line int, structural_layer string, callee_id string, edge_type string"
 _COLUMNS = [c.strip().split()[0] for c in SCHEMA.split(", ")]
 _FUNCTION = re.compile(r"^\s*(?:export\s+|public\s+|private\s+|protected\s+|static\s+|pub\s+|async\s+)*(?:function|func|fn|def|fun)\s+(?:\([^)]*\)\s*)?(\w+)\s*\(", re.M)
@@ -44,9 +46,13 @@ def dominant_language(files: DataFrame) -> DataFrame:
 
 
 def estimate(files: DataFrame) -> DataFrame:
-    """functions (counted by pattern, times 1.3), seconds_low, seconds_high of an index run."""
-    n = F.round(1.3 * F.coalesce(F.sum(F.regexp_count("content", F.lit(r"(?m)^\s*(async\s+)?(def|function|func|fn)\s+\w+"))), F.lit(0))).cast("long")
-    return files.agg(n.alias("functions")).select("functions", F.round(F.col("functions") * 0.025, 3).alias("seconds_low"), F.round(F.col("functions") * 0.085, 3).alias("seconds_high"))
+    """files, functions, classes (both counted by pattern), seconds_low and seconds_high of an index run, cut to whole seconds: so
+    many a function, after a factor for what patterns miss, and at least five for the classes."""
+    count = lambda pattern: F.coalesce(F.sum(F.regexp_count("content", F.lit(pattern))), F.lit(0))
+    own = files.agg(F.count(F.lit(1)).alias("files"), count(r"(?m)^\s*(?:async\s+)?(?:def|function|func|fn)\s+\w+").alias("functions"), count(r"(?m)^\s*(?:export\s+|public\s+|abstract\s+)*class\s+\w+").alias("classes"))
+    corrected, classes = F.floor(F.col("functions") * FUNCTION_FACTOR), F.greatest(F.lit(SECONDS_LEAST), F.floor(F.col("classes") * SECONDS_CLASS))
+    seconds = lambda each: (F.floor(corrected * each) + classes).cast("long")
+    return own.select("files", "functions", "classes", seconds(SECONDS_LOW).alias("seconds_low"), seconds(SECONDS_HIGH).alias("seconds_high"))
 
 
 def module_name(path: str, root: str = "") -> str:
@@ -131,7 +137,7 @@ def parse_sources(files: DataFrame, root: str = "") -> DataFrame:
                 try:
                     out += parse_python(path, content, root) if path.endswith(".py") else parse_generic(path, content, root)
                 except (SyntaxError, ValueError, RecursionError):
-                    continue
+                    out.append(_row(kind="failed", file=path))
             yield pd.DataFrame(out, columns=_COLUMNS)
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
@@ -144,3 +150,8 @@ def split_rows(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+
+
+def failed_files(parsed: DataFrame) -> DataFrame:
+    """file: those that could not be parsed."""
+    return parsed.filter("kind = 'failed'").select("file").distinct()

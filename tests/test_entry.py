@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One query of each family; the driver runs all of them.
-SAMPLE = ["callers", "callee_resolution", "impact_radius", "subsystem_anchors", "co_change", "branch_latest", "reconcile", "upsert_nodes", "hybrid_search", "solid_srp", "contract_check", "index_health", "naming_signal", "index_status", "label_coverage"]
+SAMPLE = ["callers", "callee_resolution", "impact_radius", "subsystem_anchors", "co_change", "branch_latest", "reconcile", "upsert_nodes", "hybrid_search", "solid_srp", "contract_check", "index_health", "naming_signal", "index_status", "label_coverage", "check_performance", "check_principles", "design_patterns", "class_siblings", "check_contracts", "change_hints", "health_report", "result_signals", "fork_delta", "dependency_health"]
 
 
 def test_sql_keys():
@@ -37,7 +37,7 @@ def test_against_sql(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
-@pytest.mark.parametrize("name", ["knn_all", "hybrid_search_all", "concentration_all"])
+@pytest.mark.parametrize("name", ["knn", "hybrid_search", "concentration"])
 def test_searches_ask_every_twentieth_row(spark, name):
     test_against_sql(spark, name)
     asked = spark.read.parquet(f"{DIR}/embeddings.parquet").filter("vec_id % 20 = 0").count()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodegraph.functions import names
-from lodegraph.operators import architecture, changes, diffs, graph, health, rules, validation
+from lodegraph.operators import architecture, changes, detectors, diffs, graph, health, patterns, rules, validation
 
 
 def rows(df):
@@ -93,15 +93,6 @@ def test_contract_rule(spark):
     assert rows(rules.contract_violations(contracts, reach)) == [("c", "f1", "m.log"), ("c", "f2", "m.log_it"), ("c", "f3", "m.my_log"), ("g", "f6", "net.x.y")]
 
 
-def test_design_patterns(spark):
-    methods = spark.createDataFrame(
-        [("S", "get_instance", "return cls._instance", []), ("O", "notify_all", "x", []), ("O", "attach", "x", []), ("T", "run", "self.step(", []), ("T", "step", "    raise NotImplementedError", []), ("B", "go", "pass", ["abstractmethod"])],
-        "class_id string, method string, body string, decorators array<string>",
-    )
-    inherits = spark.createDataFrame([("X", "B"), ("Y", "B")], "sub string, base string")
-    assert rows(rules.design_patterns(methods, inherits)) == [("B", "strategy", 0.78), ("O", "observer", 0.91), ("S", "singleton", 0.8), ("T", "template_method", 0.85)]
-
-
 def test_health(spark):
     counts = spark.createDataFrame([(3, 2, 1), (3, 3, 1), (3, 3, 0)], "expected int, actual int, degraded int")
     assert [r.status for r in health.index_status(counts).collect()] == ["partial", "degraded", "ok"]
@@ -117,21 +108,49 @@ def test_concentration(spark):
     assert architecture.concentration(results.filter(F.lit(False))).count() == 0
 
 
-def test_more_patterns(spark):
+def test_design_patterns(spark):
+    nie, no = "def m(self):\n    raise NotImplementedError", "def m(self):\n    pass"
     methods = spark.createDataFrame(
-        [("F", "create_x", "raise NotImplementedError", []), ("A", "make_a", "x", ["abstractmethod"]), ("A", "make_b", "x", ["abstractmethod"]), ("V", "visit_a", "x", []), ("V", "visit_b", "x", []), ("C", "handle", "self.next.handle(r)", []), ("D", "run", "return self._wrapped.run()", [])],
+        [("x.T", "run", "self.step()", []), ("x.T", "step", nie, []), ("x.U", "step", "return 1", []), ("x.V", "other", "x", []), ("x.F", "create_a", nie, []), ("x.F", "make_b", "y", ["abstractmethod"]), ("x.G", "create_a", "x", []), ("x.O", "attach", "x", []), ("x.O", "notify", "x", []), ("x.P", "hook", no, []), ("x.P", "go", "self.hook()", [])],
         "class_id string, method string, body string, decorators array<string>",
-    )
-    inherits = spark.createDataFrame([("D", "Base")], "sub string, base string")
-    got = {(r.class_id, r.pattern) for r in rules.design_patterns(methods, inherits).collect()}
-    assert got == {("F", "factory_method"), ("A", "abstract_factory"), ("V", "visitor"), ("C", "chain_of_responsibility"), ("D", "decorator")}
+    ).withColumn("id", F.concat_ws(".", "class_id", "method"))
+    inherits = spark.createDataFrame([("x.U", "x.T"), ("x.V", "x.T"), ("x.G", "x.F")], "sub string, base string")
+    calls = spark.createDataFrame([("x.T.run", "x.T.step"), ("x.P.go", "hook"), ("x.U.step", "x.T.step"), ("x.V.other", "self._next.other")], "caller_id string, callee_id string")
+    got = {(r.id, r.pattern, r.role, r.confidence, r.missing) for r in patterns.detect(methods, inherits, calls, spark.createDataFrame([], "id string")).collect()}
+    assert got == {
+        ("x.T.run", "template_method", "template_method", 0.88, "V"), ("x.T.step", "template_method", "abstract_hook", 0.85, "V"), ("x.F.create_a", "template_method", "abstract_hook", 0.85, ""), ("x.F.make_b", "template_method", "abstract_hook", 0.85, "G"),
+        ("x.F.create_a", "factory_method", "abstract_creator", 0.90, ""), ("x.F.make_b", "factory_method", "abstract_creator", 0.90, "G"), ("x.G.create_a", "factory_method", "concrete_creator", 0.88, ""), ("x.P.hook", "template_method", "abstract_hook", 0.75, ""),
+        ("x.F.create_a", "abstract_factory", "abstract_factory", 0.88, "G"), ("x.F.make_b", "abstract_factory", "abstract_factory", 0.88, "G"), ("x.G.create_a", "abstract_factory", "concrete_factory", 0.85, ""), ("x.O.attach", "observer", "subject", 0.91, "detach"),
+        ("x.O.notify", "observer", "subject", 0.91, "detach"), ("x.V.other", "chain_of_responsibility", "handler", 0.85, ""), ("x.U.step", "decorator_or_proxy", "proxy", 0.65, ""),
+    }
     elements = spark.createDataFrame([("a",), ("b",), ("c",)], "element string")
-    assert rows(rules.missing_visits(methods, elements)) == [("V", "c")]
+    assert rows(rules.missing_visits(spark.createDataFrame([("V", "visit_a"), ("V", "visit_b")], "class_id string, method string"), elements)) == [("V", "c")]
+
+
+def test_pass_only(spark):
+    bodies = {"def f(self):\n    pass": True, "def f(self):\n    ...": True, 'def f(self):\n    """a\n    b"""\n    # c\n    pass': True, "async def f(\n    self,\n):\n    pass": True, "def f(self):\n    return 1": False, "": False, "def f(self):\n    pass\n    x()": False}
+    df = spark.createDataFrame(list(bodies.items()), "body string, want boolean")
+    assert df.filter(patterns.is_pass_only() != F.col("want")).count() == 0
+
+
+def test_detectors_on_long_texts(spark):
+    long = "x [ 'a' \" for in " * 20_000
+    df = spark.createDataFrame([("a", "a", 0, 1, long), ("b", "b", 0, 1, None), ("c", "c", 0, 1, "for x in y:\n  conn.execute(1)"), ("d", "d", 1, 0, "")], "id string, name string, is_external int, is_async int, body string")
+    calls = spark.createDataFrame([("c", "c"), ("c", "d"), ("c", "d")], "caller_id string, callee_id string")
+    none = spark.createDataFrame([], "id string, reason string")
+    assert rows(detectors.performance(df, calls, none).select("id", "pattern", "severity")) == [("c", "external_call_in_loop", "medium"), ("c", "n_plus_one", "medium")]
+
+
+def test_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(changes, "BLOCK", 4)
+    log = spark.createDataFrame([(k, i) for k in range(2) for i in range(30)] + [(5, 1), (5, 2)], "commit_hash int, function_id int")
+    got = rows(changes.co_occurrence(log, "commit_hash", least=2))
+    assert got == sorted((a, b, 3 if {a, b} == {1, 2} else 2) for a in range(30) for b in range(30) if a != b)
 
 
 def test_conformance(spark):
     existing = spark.createDataFrame([("m", f"get_{i}", 1, "precise") for i in range(8)] + [("m", "put_x", 1, "precise"), ("g", "a_b", 0, "generic")], "module string, name string, is_async int, structural_layer string")
     drafts = spark.createDataFrame(
-        [(1, "m", "get_ok", 1, "pass"), (2, "m", "fetch_it", 0, "    for x in y:\n        db.fetch(x)"), (3, "g", "anything", 1, "    a = await f()\n    b = await g()"), (4, "new", "z", 0, "")], "draft_id int, module string, name string, is_async int, body string"
+        [(1, "m", "get_ok", 1, "pass"), (2, "m", "fetch_it", 0, "    for x in y:\n        conn.fetch(x)"), (3, "g", "anything", 1, "    a = await f()\n    b = await g()"), (4, "new", "z", 0, "")], "draft_id int, module string, name string, is_async int, body string"
     )
     assert rows(validation.conformance(drafts, existing)) == [(1, 0, 1.0), (2, 3, 0.35), (3, 2, 0.6), (4, 0, 1.0)]

@@ -50,7 +50,7 @@ def test_parse_generic(spark):
 def test_language_and_estimate(spark):
     files = spark.createDataFrame([("/a.go", "func a() {}"), ("/b.go", ""), ("/c.py", "def f():\n  pass\ndef g(): pass")], "path string, content string")
     assert python_source.dominant_language(files).first()[0] == "python"
-    assert tuple(python_source.estimate(files).first()) == (4, 0.1, 0.34)
+    assert tuple(python_source.estimate(files).first()) == (3, 3, 0, 5, 5)
 
 
 def test_read_sources(spark, tmp_path):
@@ -100,3 +100,52 @@ def test_stream_equals_batch(spark, tmp_path):
     final, links = store.read()
     assert sorted(r.id for r in final.collect()) == ["m.a", "m.b"]
     assert sorted((r.caller_id, r.callee_id) for r in links.collect()) == sorted((r.caller_id, r.callee_id) for r in calls.collect())
+    again = incremental.Store(spark, str(tmp_path / "store"), nodes, edges)  # another process goes on from there
+    assert again.version == 2 and sorted(r.id for r in again.read()[0].collect()) == ["m.a", "m.b"]
+    broken = spark.createDataFrame([("/m.py", "def a(:"), ("/k.py", "def k():\n    pass\n")], schema)
+    assert sorted(r.id for r in incremental.apply_changes(*again.read(), broken)[0].collect()) == ["k.k", "m.a", "m.b"]
+
+
+def test_stream_takes_the_newest_row_of_a_path(spark, tmp_path):
+    schema = "path string, content string, at int"
+    nodes, edges = python_source.split_rows(python_source.parse_sources(spark.createDataFrame([], "path string, content string")))
+    store = incremental.Store(spark, str(tmp_path / "store"), nodes.withColumn("summary", F.lit(None).cast("string")), edges)
+    source = str(tmp_path / "in")
+    spark.createDataFrame([("/a.py", "def z():\n    pass\n", 1), ("/a.py", "def b():\n    pass\n", 2), ("/d.py", "def d():\n    pass\n", 1), ("/d.py", None, 2)], schema).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source)
+    incremental.run_stream(stream, store, str(tmp_path / "cp"), order="at").awaitTermination(120)
+    assert [r.id for r in store.read()[0].collect()] == ["a.b"]
+
+
+def _message(*fields):
+    """A message of (field, number or bytes)."""
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    return b"".join(number(f << 3) + number(v) if isinstance(v, int) else number(f << 3 | 2) + number(len(v)) + v for f, v in fields)
+
+
+def test_binary_symbols(spark, tmp_path):
+    hit = lambda line, symbol, roles: (2, _message((1, bytes([line, 0, 5])), (2, symbol.encode()), (3, roles)))
+    document = _message((1, b"a.py"), hit(1, "f().", 1), hit(3, "lib g().", 8), hit(200 & 127, "h().", 1), hit(100, "f().", 8), hit(101, "f().", 8))
+    (tmp_path / "i.scip").write_bytes(_message((1, b"meta"), (2, document)))
+    found = artifacts.read_binary_symbols(spark, str(tmp_path / "i.scip"))
+    assert found.count() == 5
+    assert sorted(map(tuple, artifacts.attribute_reads(found).collect())) == [("f().", "lib g()."), ("h().", "f().")]
+
+
+def test_split_symbols(spark):
+    rows = [("a.py", "s m p 1 a/f().", "", "p", "a.f", [("s m numpy 1 numpy/array().", True), ("s m p 1 a/g().", True), ("s m p 1 x/y#", False)]), ("a.py", "s m p 1 a/g().", "", "p", "a.g", [])]
+    symbols = spark.createDataFrame(rows, "file string, symbol string, docs string, library string, name string, relationships array<struct<symbol: string, isReference: boolean>>")
+    nodes, edges = artifacts.split_symbols(symbols)
+    assert sorted((r.id, r.is_external) for r in nodes.collect()) == [("a.f", 0), ("a.g", 0), ("external.numpy.numpy.array", 1)]
+    assert sorted(map(tuple, edges.collect())) == [("a.f", "a.g"), ("a.f", "external.numpy.numpy.array")]
+
+
+def test_pipfile(spark, tmp_path):
+    (tmp_path / "Pipfile.lock").write_text(json.dumps({"default": {"Foo_x": {"version": "==1.0"}, "bar": {"version": "==2"}}, "develop": {"bar": {"version": "==3"}}}))
+    assert sorted(map(tuple, artifacts.read_pipfile_lock(spark, str(tmp_path / "Pipfile.lock")).collect())) == [("bar", "3"), ("foo-x", "1.0")]
