@@ -32,8 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import saved
 from . import _text as T
-from .components import SALTS, components, saved
+from .components import SALTS, components
 
 SHINGLE, PERCENT = 5, 75
 COORDINATES, MATCHES = 64, 28
