@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.llm import minhash_near_dedup, packing, secret_scans, substring_dedup, toxicity
-from lodegraph.llm.components import saved
+from lodegraph.tables import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
