@@ -194,6 +194,40 @@ def test_mask(spark):
 # toxicity
 
 
+def test_fit_against_plain_ftrl():
+    """The same rounds with a dictionary a coordinate."""
+    rng = random.Random(2)
+    examples = [(np.array(sorted(rng.sample(range(40), rng.randint(0, 12))), np.int32), rng.randrange(2)) for _ in range(60)]
+    a, b, l1 = 0.5, 1.0, 0.3
+    z, n, zb, nb = dict.fromkeys(range(64), 0.0), dict.fromkeys(range(64), 0.0), 0.0, 0.0
+    weight = lambda z, n, l1: 0.0 if abs(z) <= l1 else -(z - (l1 if z > 0 else -l1)) / ((b + n**0.5) / a)
+    for epoch in range(3):
+        for k in np.random.default_rng(epoch).permutation(len(examples)):
+            at, label = examples[k]
+            w = {i: weight(z[i], n[i], l1) for i in at.tolist()}
+            bias = weight(zb, nb, 0.0)
+            g = 1 / (1 + np.exp(-(sum(w.values()) + bias))) - label
+            for i in w:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / a * w[i]
+                n[i] += g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / a * bias
+            nb += g * g
+    at, w, bias = toxicity.fit(examples, bits=6, epochs=3, alpha=a, beta=b, l1=l1)
+    dense = dict(zip(at.tolist(), w.tolist()))
+    assert all(abs(dense.get(i, 0.0) - weight(z[i], n[i], l1)) < 1e-9 for i in range(64)) and abs(bias - weight(zb, nb, 0.0)) < 1e-9
+    assert 0 < len(at) < 40
+
+
+def test_score_against_plain_sums(spark):
+    texts = [None, "", "a B c. a b", "x " * 5000, "b c"]
+    model = (np.arange(0, 1 << 8, 3), np.linspace(-1, 1, len(range(0, 1 << 8, 3))), 0.25)
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs_of(spark, texts), model, bits=8).collect()}
+    dense = dict(zip(*(x.tolist() for x in model[:2])))
+    for i, t in enumerate(texts):
+        _, at = toxicity.features(pa.array([t or ""], pa.large_string()), 8)
+        assert abs(got[i] - 1 / (1 + np.exp(-(sum(dense.get(x, 0.0) for x in set(at.tolist())) + 0.25)))) < 1e-9
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows = []
@@ -429,7 +463,35 @@ def test_licence_headers():
         layouts.append("\n\n".join(textwrap.fill(p, 16, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n")))
         for layout in layouts:
             assert license_scans.scan(layout)[1] == [licence], layout
-    assert license_scans.sentences(HEADERS["GPL-2.0-or-later"]) == ["copyright", "gpl2_free", "gpl_hope", "gpl_details", "gpl_copy", "gpl_not"]
+    assert license_scans.sentences(HEADERS["GPL-2.0-or-later"]) == ["copyright", "gpl2.0_free", "gpl_hope", "gpl_details", "gpl_copy", "gpl_not"]
+
+
+def test_licence_references():
+    cases = {
+        "License: LGPL-2.1": "LGPL-2.1-only", "licensed under GPL v3 or later": "GPL-3.0-or-later", "licensed under the Apache License 2.0.": "Apache-2.0", "Released under the GNU Affero General Public License, version 3.": "AGPL-3.0-only",
+        "This library is licensed under the Boost Software License,\n  Version 1.0.": "BSL-1.0", "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0", "Distributed under the terms of the Eclipse Public License v2.0": "EPL-2.0", "Released under the MIT License.": "MIT",
+        "licensed under GPLv2+": "GPL-2.0-or-later", "released under the licence of some planet": "UNKNOWN",
+    }
+    assert {t: ",".join(license_scans.scan(t)[1]) for t in cases} == cases
+
+
+def brute_licences(text):
+    """What whole forms, looked for one by one as runs of words that begin a line, find in a text with a sentence a line."""
+    out = []
+    for line in text.lower().split("\n"):
+        bare = " ".join(line.split()).strip(" .,;:!*#")
+        out += [name for name, forms in license_scans.SENTENCES.items() for form in forms if bare == form or "{any}" in form and re.fullmatch(re.escape(form).replace(re.escape("{any}"), ".*"), bare)][:1]
+    return out
+
+
+def test_licences_against_brute_force(spark):
+    rng = random.Random(6)
+    forms = [f.replace("{any}", "x") for name, fs in license_scans.SENTENCES.items() if name != "spdx" for f in rng.sample(fs, min(2, len(fs)))]
+    plain = ["nothing here", "the quick brown fox", "", "a fine day"]
+    texts = ["\n".join(["a licence", *(rng.choice(forms) + "." if rng.random() < 0.4 else rng.choice(plain) for _ in range(rng.randrange(12)))]) for _ in range(300)]
+    got = {r.doc_id: r.sentences for r in license_scans.scan_licenses(docs_of(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        assert [x for x in got[i] if x != "UNKNOWN"] == brute_licences(text), text
 
 
 @pytest.mark.parametrize("name", license_scans.SENTENCES)
