@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import queries_changes, queries_code, queries_graph, queries_lookup, queries_patterns, queries_rules, queries_search
+from .plans import queries_changes, queries_code, queries_graph, queries_lookup, queries_patterns, queries_rules, queries_search, queries_store
 
-_MODULES = (queries_graph, queries_changes, queries_search, queries_rules, queries_code, queries_patterns, queries_lookup)
+_MODULES = (queries_graph, queries_changes, queries_search, queries_rules, queries_code, queries_patterns, queries_lookup, queries_store)
 
 
 def queries() -> dict:

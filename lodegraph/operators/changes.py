@@ -71,3 +71,9 @@ def match_paths(files: DataFrame, paths: DataFrame, longest: int = 3) -> DataFra
 
 def classify_commits(log: DataFrame, subject: str = "subject") -> DataFrame:
     return log.withColumn("type", names.decision_type(subject))
+
+
+def top_commits(log: DataFrame, n: int = 5) -> DataFrame:
+    """commit_hash, n_functions: the commits that touch most functions, ties to the lesser commit."""
+    by = log.groupBy("commit_hash").agg(F.count_distinct("function_id").alias("n_functions"))
+    return by.orderBy(F.desc("n_functions"), "commit_hash").limit(n)

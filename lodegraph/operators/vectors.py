@@ -106,3 +106,45 @@ def semantic_check(snippets: DataFrame, examples: DataFrame, threshold: float =
     sim = names.similarity(names.dot("v", "ev") / (F.col("len") * F.col("el")))
     out = both.select("id", "kind", sim.alias("s")).groupBy("id").agg(F.max(F.when(F.col("kind") == "violation", F.col("s"))).alias("violation"), F.max(F.when(F.col("kind") == "compliance", F.col("s"))).alias("compliance"))
     return out.withColumn("violates", (F.coalesce("violation", F.lit(0.0)) >= threshold) & (F.coalesce("compliance", F.lit(0.0)) < threshold))
+
+
+# The weights of the fields of a keyword match.
+WEIGHTS = {"name": 1.0, "docstring": 0.4, "summary": 0.2}
+
+
+def weighted_keywords(nodes: DataFrame, queries: DataFrame, k: int, weights: dict[str, float] | None = None) -> DataFrame:
+    """query_id, id, rank, score: nodes that hold all terms of a query in any field, by the sum of the weights of the fields' hits,
+    ties to the lesser id.  queries: query_id, term (lower case); words are runs of letters and digits."""
+    weights = weights or WEIGHTS
+    words = None
+    for field, weight in weights.items():
+        own = nodes.select("id", F.explode(F.split(F.lower(field), "[^a-z0-9]+")).alias("term")).withColumn("w", F.lit(weight))
+        words = own if words is None else words.unionByName(own)
+    asked = queries.distinct()
+    many = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
+    by_term = words.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("id", "term").agg(F.sum("w").alias("w"))
+    hits = by_term.join(small(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"), F.count(F.lit(1)).alias("n")).join(small(many), "query_id").filter("n = n_terms")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return hits.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("query_id", "id", "rank", "score")
+
+
+def scoped_search(hits: DataFrame, owners: DataFrame, project: str | None, k: int) -> DataFrame:
+    """query_id, rank, id, similarity: the best k of a project (owners: id, project_id); the project is picked before the k, so none is
+    missed."""
+    own = hits if project is None else hits.join(owners.filter(F.col("project_id") == project).select("id").distinct(), "id", "left_semi")
+    order = Window.partitionBy("query_id").orderBy("rank", "id")
+    return own.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= k).select("query_id", F.col("place").alias("rank"), "id", "similarity")
+
+
+def cache_vectors(vectors: DataFrame, cache: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What has to be embedded, and the cache's hits: wanted (id, body_hash) against the cache (body_hash, embedding); ids that have a
+    vector already are left out."""
+    missing = wanted.join(vectors.select("id"), "id", "left_anti")
+    hits = missing.join(cache.select("body_hash", "embedding"), "body_hash").select("id", "body_hash", "embedding")
+    return missing.join(cache.select("body_hash").distinct(), "body_hash", "left_anti").select("id", "body_hash"), hits
+
+
+def route(nodes: DataFrame) -> DataFrame:
+    """id, model: documented functions go to the small model, the others to the fallback."""
+    documented = (F.coalesce("docstring", F.lit("")) != "") | (F.coalesce("summary", F.lit("")) != "")
+    return nodes.select("id", F.when(documented, "small").otherwise("fallback").alias("model"))
