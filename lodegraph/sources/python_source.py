@@ -1,7 +1,7 @@
 """Source files to nodes and call edges.
 
-Python goes through the standard library's parser; other languages through patterns for functions, classes and calls, marked
-structural_layer = 'generic'.  One narrow pass over (path, content) rows; a file that cannot be parsed gives one row of kind
+Python goes through the standard library's parser; other languages by their scopes (scoped_source), marked structural_layer =
+'scoped'.  One narrow pass over (path, content) rows; a file that cannot be parsed gives one row of kind
 `failed`.
 """
 
@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scoped_source
+
 # Extensions, directories that are not walked, body limit, the order in which a project's language is decided, and what
 # an index run takes.
 EXTENSIONS = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".go": "go", ".rs": "rust", ".java": "java", ".rb": "ruby", ".cs": "csharp", ".cpp": "cpp", ".swift": "swift", ".kt": "kotlin", ".php": "php"}
@@ -25,10 +27,6 @@ PRIORITY = ("python", "typescript", "javascript", "java", "rust", "go", "csharp"
 FUNCTION_FACTOR, SECONDS_LOW, SECONDS_HIGH, SECONDS_CLASS, SECONDS_LEAST = 1.3, 0.025, 0.085, 0.005, 5
 SCHEMA = "kind string, id string, name string, module string, file string, type string, signature string, docstring string, body string, body_hash string, decorators array<string>, is_async int, parameter_names array<string>, enclosing_class string, start_line int, end_line int, structural_layer string, callee_id string, edge_type string"
 _COLUMNS = [c.strip().split()[0] for c in SCHEMA.split(", ")]
-_FUNCTION = re.compile(r"^\s*(?:export\s+|public\s+|private\s+|protected\s+|static\s+|pub\s+|async\s+)*(?:function|func|fn|def|fun)\s+(?:\([^)]*\)\s*)?(\w+)\s*\(", re.M)
-_CLASS = re.compile(r"^\s*(?:export\s+|public\s+|abstract\s+|pub\s+)*(?:class|struct|interface|trait)\s+(\w+)", re.M)
-_CALL = re.compile(r"\b(\w+)\s*\(")
-_KEYWORDS = frozenset("if for while switch catch return function func fn def fun class new match sizeof typeof await".split())
 
 
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
@@ -113,15 +111,25 @@ def parse_python(path: str, content: str, root: str = "") -> list[dict]:
     return out
 
 
-def parse_generic(path: str, content: str, root: str = "") -> list[dict]:
-    """Node and edge rows of a file in a language without a parser here: each function runs to the next one."""
-    module, out = module_name(path, root), []
-    found = sorted([(m.start(1), m[1], "function") for m in _FUNCTION.finditer(content)] + [(m.start(1), m[1], "class") for m in _CLASS.finditer(content)])
-    for (at, name, kind), (end, *_) in zip(found, [*found[1:], (len(content),)], strict=True):
-        text = content[at:end]
-        out.append(_row(kind="node", id=f"{module}.{name}", name=name, module=module, file=path, type=kind, signature=text.split("\n")[0].strip()[:200], docstring="", body=text[:BODY] if kind == "function" else "", body_hash=hashlib.sha256(text.encode()).hexdigest()[:16] if kind == "function" else "", decorators=[], is_async=0, parameter_names=[], enclosing_class="", start_line=content.count("\n", 0, at) + 1, end_line=content.count("\n", 0, end) + 1, structural_layer="generic"))
-        if kind == "function":
-            out.extend(_row(kind="edge", id=f"{module}.{name}", file=path, callee_id=c, edge_type="calls") for c in _CALL.findall(text[len(name) + 1 :]) if c not in _KEYWORDS)
+def parse_scoped(path: str, content: str, root: str = "") -> list[dict]:
+    """Node and edge rows of a file in a language of braces, or Ruby: methods with their class, bases, imports, comments before a
+    declaration as docstrings; structural_layer = 'scoped'."""
+    language = EXTENSIONS[os.path.splitext(path)[1].lower()]
+    module, found = module_name(path, root), scoped_source.scopes(content, language)
+    out = [_row(kind="edge", id=module, file=path, callee_id=name, edge_type="imports") for name in scoped_source.imports(content, language)]
+    for x in found:
+        id_ = ".".join([module, *x["outer"], x["name"]])
+        cls = x["outer"][-1] if x["method"] and x["outer"] else ""
+        text, kind = content[x["start"] : x["end"]], "class" if x["kind"] == "class" else "method" if x["method"] else "function"
+        own = kind != "class"
+        out.append(
+            _row(kind="node", id=id_, name=f"{cls}.{x['name']}" if cls else x["name"], module=module, file=path, type=kind, signature=" ".join(x["header"].split())[:200], docstring=scoped_source._doc(content, x["start"]),
+                 body=text[:BODY] if own else "", body_hash=hashlib.sha256(text.encode()).hexdigest()[:16] if own else "", decorators=re.findall(r"@([\w.]+)", x["header"]), is_async=int(bool(re.search(r"\b(?:async|suspend)\b", x["header"]))), parameter_names=x["parameters"],
+                 enclosing_class=cls, start_line=content.count("\n", 0, x["start"]) + 1, end_line=content.count("\n", 0, x["end"]) + 1, structural_layer="scoped")
+        )
+        out.extend(_row(kind="edge", id=id_, file=path, callee_id=b, edge_type="inherits") for b in x["bases"])
+        if own:
+            out.extend(_row(kind="edge", id=id_, file=path, callee_id=c, edge_type="calls") for c in scoped_source.called(content, x, found, language))
     return out
 
 
@@ -135,7 +143,7 @@ def parse_sources(files: DataFrame, root: str = "") -> DataFrame:
                 if content is None:
                     continue
                 try:
-                    out += parse_python(path, content, root) if path.endswith(".py") else parse_generic(path, content, root)
+                    out += parse_python(path, content, root) if path.endswith(".py") else parse_scoped(path, content, root)
                 except (SyntaxError, ValueError, RecursionError):
                     out.append(_row(kind="failed", file=path))
             yield pd.DataFrame(out, columns=_COLUMNS)

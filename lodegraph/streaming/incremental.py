@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import diffs
+from ..operators import diffs, graph
 from ..sources import python_source as P
 
 BUCKETS = 64
@@ -30,6 +30,13 @@ def apply_changes(nodes: DataFrame, edges: DataFrame, files: DataFrame, root: st
     return kept.unionByName(rewritten), edges.join(touched, "file", "left_anti").select(*edges.columns).unionByName(calls.select(*edges.columns)), delta
 
 
+def full_index(files: DataFrame, root: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (without summaries), edges with callees resolved, and the files that could not be parsed, of a whole project."""
+    parsed = P.parse_sources(files, root)
+    nodes, calls = P.split_rows(parsed)
+    return nodes.withColumn("summary", F.lit(None).cast("string")), graph.resolve_callees(calls, nodes), P.failed_files(parsed)
+
+
 def _bucket(column: str):
     return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
 

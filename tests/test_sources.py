@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodegraph.sources import artifacts, python_source
@@ -40,7 +41,7 @@ def test_parse_python(spark):
     assert {("pkg.mod.Base.run", "helper", "calls"), ("pkg.mod.Base.go", "run", "calls"), ("pkg.mod.Base", "Thing", "inherits"), ("pkg.mod", "os", "imports"), ("pkg.mod", "a.b.c", "imports"), ("pkg.mod.Base.go.<locals>.inner", "os.getcwd", "calls")} <= pairs
 
 
-def test_parse_generic(spark):
+def test_parse_scoped(spark):
     files = spark.createDataFrame([("/x.go", "type A struct\nfunc One(a int) {\n  two(a)\n  if (x) {}\n}\nfunc two() {}\n")], "path string, content string")
     nodes, edges = python_source.split_rows(python_source.parse_sources(files))
     assert sorted(r.id for r in nodes.collect()) == ["x.One", "x.two"]
@@ -106,6 +107,14 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(r.id for r in incremental.apply_changes(*again.read(), broken)[0].collect()) == ["k.k", "m.a", "m.b"]
 
 
+def test_full_index(spark):
+    files = spark.createDataFrame([("/m.py", "def a():\n    b()\n\ndef b():\n    go()\n"), ("/n.ts", "export function go() { b(); }"), ("/bad.py", "def ("), ("/gone.py", None)], "path string, content string")
+    nodes, edges, failed = incremental.full_index(files)
+    assert sorted(r.id for r in nodes.collect()) == ["m.a", "m.b", "n.go"]
+    assert sorted((r.caller_id, r.callee_id) for r in edges.collect()) == [("m.a", "m.b"), ("m.b", "n.go"), ("n.go", "m.b")]
+    assert [r.file for r in failed.collect()] == ["/bad.py"]
+
+
 def test_stream_takes_the_newest_row_of_a_path(spark, tmp_path):
     schema = "path string, content string, at int"
     nodes, edges = python_source.split_rows(python_source.parse_sources(spark.createDataFrame([], "path string, content string")))
@@ -149,3 +158,60 @@ def test_split_symbols(spark):
 def test_pipfile(spark, tmp_path):
     (tmp_path / "Pipfile.lock").write_text(json.dumps({"default": {"Foo_x": {"version": "==1.0"}, "bar": {"version": "==2"}}, "develop": {"bar": {"version": "==3"}}}))
     assert sorted(map(tuple, artifacts.read_pipfile_lock(spark, str(tmp_path / "Pipfile.lock")).collect())) == [("bar", "3"), ("foo-x", "1.0")]
+
+
+LANGUAGES = {
+    "a.ts": (
+        "import { x } from './lib';\nconst y = require('dep');\n/** Says hi. */\nexport class Foo<T> extends Base implements I, J {\n  async go(a: string, b = 2): Promise<void> { if (a) { run(a); } const f = (z) => { inner(z); }; }\n  get v() { return this.w(); }\n}\nexport const arrow = async (q) => { call(q); };\nfunction plain(s /* } */) { return '}' + other(s); }\n",
+        {"a.Foo": "class", "a.Foo.go": "method", "a.Foo.go.<locals>.f": "function", "a.Foo.v": "method", "a.arrow": "function", "a.plain": "function"},
+        {("a", "./lib"), ("a", "dep"), ("a.Foo", "Base"), ("a.Foo", "I"), ("a.Foo", "J"), ("a.Foo.go", "run"), ("a.Foo.go.<locals>.f", "inner"), ("a.Foo.v", "w"), ("a.arrow", "call"), ("a.plain", "other")},
+    ),
+    "b.java": (
+        "import java.util.List;\npublic class B extends A {\n  @Override\n  public List<String> get(int n, Map<K, V> m) throws E { for (int i = 0; i < n; i++) { use(i); } return make(); }\n  B() { super(); init(); }\n  interface In { void f(); }\n}\n",
+        {"b.B": "class", "b.B.get": "method", "b.B.B": "method", "b.B.In": "class"},
+        {("b", "java.util.List"), ("b.B", "A"), ("b.B.get", "use"), ("b.B.get", "make"), ("b.B.B", "init")},
+    ),
+    "c.rs": (
+        "use std::fmt;\npub struct S { a: i32 }\nimpl fmt::Display for S {\n    pub async fn show(&self, f: &mut F) -> R { write(f) }\n}\nfn main() { let s = S { a: 1 }; go(s); }\n",
+        {"c.S": "class", "c.S.show": "method", "c.main": "function"},
+        {("c", "std::fmt"), ("c.S", "fmt::Display"), ("c.S.show", "write"), ("c.main", "go")},
+    ),
+    "d.go": (
+        'import (\n  "fmt"\n  x "a/b"\n)\ntype T struct { n int }\nfunc (t *T) Do(a int, b string) error { return fmt.Errorf("}") }\nfunc main() { go t.Do(1, "a") }\n',
+        {"d.T.Do": "method", "d.main": "function"},
+        {("d", "fmt"), ("d", "a/b"), ("d.T.Do", "Errorf"), ("d.main", "Do")},
+    ),
+    "e.cpp": (
+        "#include <vector>\nnamespace n {\nclass C : public D {\n public:\n  int f(const char* s) const { return g(s); }\n};\n}\nvoid C::h(int k) { while (k) { f(k); } }\n",
+        {"e.C": "class", "e.C.f": "method", "e.C.h": "method"},
+        {("e", "vector"), ("e.C", "D"), ("e.C.f", "g"), ("e.C.h", "f")},
+    ),
+    "f.rb": (
+        "require 'set'\nclass Foo < Bar\n  # Says so.\n  def hi(a, b = 1)\n    talk(a)\n  end\n\n  def self.make\n    new_one()\n  end\nend\n",
+        {"f.Foo": "class", "f.Foo.hi": "method", "f.Foo.make": "method"},
+        {("f", "set"), ("f.Foo", "Bar"), ("f.Foo.hi", "talk"), ("f.Foo.make", "new_one")},
+    ),
+    "g.kt": ("import a.b.C\nclass K(val x: Int) : Base(x), I {\n  suspend fun go(a: Int): String { return run(a) }\n}\nfun top(s: String) { go(s) }\n", {"g.K": "class", "g.K.go": "method", "g.top": "function"}, {("g", "a.b.C"), ("g.K", "Base"), ("g.K", "I"), ("g.K.go", "run"), ("g.top", "go")}),
+    "h.php": ("<?php\nuse App\\Models\\User;\nclass P extends Q {\n  public function f($a, int $b = 2) { # }\n    return $this->g($a); }\n}\nfunction top() { run(); }\n", {"h.P": "class", "h.P.f": "method", "h.top": "function"}, {("h", "App\\Models\\User"), ("h.P", "Q"), ("h.P.f", "g"), ("h.top", "run")}),
+    "i.cs": ("using System;\nnamespace N {\n  public class C : B, I {\n    public async Task<int> Get(string s, int n) { foreach (var x in s) { Use(x); } return 1; }\n  }\n}\n", {"i.C": "class", "i.C.Get": "method"}, {("i", "System"), ("i.C", "B"), ("i.C", "I"), ("i.C.Get", "Use")}),
+    "j.swift": ("import UIKit\nclass V: Base, P {\n  func go(_ a: Int, with b: String) async -> Int { return run(a) }\n}\nfunc top() { go() }\n", {"j.V": "class", "j.V.go": "method", "j.top": "function"}, {("j", "UIKit"), ("j.V", "Base"), ("j.V", "P"), ("j.V.go", "run"), ("j.top", "go")}),
+}
+
+
+@pytest.mark.parametrize("path", LANGUAGES)
+def test_languages(path):
+    content, nodes, edges = LANGUAGES[path]
+    rows = python_source.parse_scoped(path, content)
+    assert {r["id"]: r["type"] for r in rows if r["kind"] == "node"} == nodes
+    assert {(r["id"], r["callee_id"]) for r in rows if r["kind"] == "edge"} == edges
+
+
+def test_scoped_details():
+    rows = {r["id"]: r for r in python_source.parse_scoped("a.ts", LANGUAGES["a.ts"][0]) if r["kind"] == "node"}
+    go = rows["a.Foo.go"]
+    assert (go["parameter_names"], go["is_async"], go["enclosing_class"], go["start_line"], rows["a.Foo"]["docstring"]) == (["a", "b"], 1, "Foo", 5, "Says hi.")
+    assert rows["a.plain"]["body"].endswith("other(s); }")
+    ruby = {r["id"]: r for r in python_source.parse_scoped("f.rb", LANGUAGES["f.rb"][0]) if r["kind"] == "node"}
+    assert ruby["f.Foo.hi"]["docstring"] == "Says so." and ruby["f.Foo.hi"]["parameter_names"] == ["a", "b"]
+    for junk in ("", "}}}", "{" * 500, "class", "fn (", "((("):
+        python_source.parse_scoped("x.rs", junk)
