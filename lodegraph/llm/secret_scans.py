@@ -57,7 +57,15 @@ ORDINARY = (
     "security segment selection sequence server service session setting signature singleton snapshot source stable standard statement status storage "
     "stream string structure subject symbol system table target template temporary test text the thing thread threshold time token transaction "
     "transform translation transport tree tuple type understanding unit update user validation value variable vector version view visible web window "
-    "with word worker writer nation tion ing and that this there other and of in on er en an re"
+    "with word worker writer nation tion ing and that this there other and of in on er en an re "
+    # the commonest words of identifiers and texts in German, French and Spanish, without accents
+    "abfrage abschnitt adresse anfang anzeige arbeit auftrag ausgabe auswahl bearbeiten benutzer bereich beschreibung beziehung datei eigenschaft eingabe einheit einstellung entwicklung ergebnis fehler freiheit funktion "
+    "geschwindigkeit gesellschaft gleichzeitig grenze haeufigkeit inhalt knopf kunde laufzeit leistung loeschen meldung moeglichkeit nachricht netzwerk nutzung passwort pfad pflicht pruefung rechnung schaltung schluessel "
+    "schreiben schutz sicherheit speicher sprache suche tabelle uebersicht umgebung verbindung verzeichnis vorschlag werkzeug wichtigkeit zahlung zeichen zeitpunkt zugriff zukunft zusammen zwischen "
+    "affichage ajouter appareil beaucoup bureau choix client couleur dernier donnees eau environ erreur essai etat exemple fichier fonction heureux jeu joyeux langue lecture lieu lieux logiciel longueur mieux mise modifier "
+    "monde mot niveau nombre nouveau nouveaux objet oiseau ouvrir page paiement parametre pays plusieurs pouvoir premier principaux produit qualite question quelque recherche reseau reseaux sauvegarde seulement sortie suivant tableau tableaux utilisateur valeur vente vieux ville "
+    "accion actualizar ahora anuncio aplicacion archivo ayuda bajo busqueda cambio ciudad clave codigo compra conexion contrasena correo cuenta datos despues direccion ejemplo enlace entonces error escribir espacio estado "
+    "ejecucion fecha funcion gasto hoja imagen informacion inicio lectura lenguaje lista mejor mensaje mientras muchos nivel noticia nuevo numero pagina pais pantalla pedido permiso persona precio proceso producto prueba pueblo registro respuesta salida seccion siguiente sistema tabla tiempo trabajo usuario valores vacio"
 ).split()
 
 
