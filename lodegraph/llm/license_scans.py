@@ -5,7 +5,7 @@ the identifier of a known licence sentence, by a table of patterns.  Ordered rul
 rule that fits names the licence and uses up its sentences; the rest goes on with the later rules.  Sentences that speak of
 licensing but are not known are reported as UNKNOWN, and a text without either as NONE.
 
-One narrow pass; only texts that hold a licence word are cut into sentences.
+One narrow pass; only texts that hold a licence word, or how a known sentence without one begins, are cut into sentences.
 
 Cases: null or empty text: NONE, no sentences; sentences that are wrapped over lines are joined; ids may be null or repeat;
 texts of any length are read whole; only the named columns are read.
@@ -170,7 +170,8 @@ RULES = (
     ("Proprietary", "all_rights"),
 )
 
-_WORDS = (b"licen", b"copyright", b"permission", b"warrant", b"redistribut", b"rights reserved", b"spdx", b"\xc2\xa9", b"(c)", b"public domain", b"cc by", b"as is", b"liable")
+#: Parts of single words, and what _LICENCE finds beside them.
+_WORDS = ("licen", "copyright", "permission", "warrant", "redistribut", "reserved", "spdx", "©", "(c)", "liable", "all rights", "public domain")
 _LICENCE = re.compile(r"licen[cs]e|copyright|warrant(?:y|ies)|redistribut|all rights|spdx|public domain")
 _PART = re.compile(r"(?:(?<=[.!?;])|(?<=\.[\"'”)]))\s+|(?<=:)[ \t]*\n\s*|\n\s*\n")
 _MARKS = re.compile(r"^[\s*#/;|>\-]+")
@@ -217,6 +218,22 @@ def identify(sentence: str) -> str | None:
     return next((name for pattern, head, name in _OPEN if sentence.startswith(head) and pattern.fullmatch(sentence)), None)
 
 
+def _openings() -> dict[str, re.Pattern]:
+    """How the forms begin that need not hold a licence word within a line, as patterns over the ends of lines, by their longest words."""
+    bare = {form for forms in SENTENCES.values() for form in forms if not any(w in form and " " not in w for w in _WORDS)}
+    heads = {f[: f.index(" under ") + 6] if " under " in f else " ".join(f.split("{any}")[0].split()[:4]) for f in bare}
+    return {max(h.split(), key=len): re.compile("|".join(r"[\s*#/;|>\-]+".join(map(re.escape, x.split())) for x in sorted(heads) if max(x.split(), key=len) == max(h.split(), key=len))) for h in heads}
+
+
+_OPENINGS = _openings()
+
+
+def _may_hold(text: str) -> bool:
+    """False only if no sentence of the text is known or speaks of licensing."""
+    lower = text.lower()
+    return any(w in lower for w in _WORDS) or any(w in lower and pattern.search(lower) for w, pattern in _OPENINGS.items())
+
+
 #: Open forms that end with their line.
 _LINE = ("copyright", "spdx")
 
@@ -336,10 +353,7 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     def run(batches):
         for batch in batches:
             for part in T.slices(batch, "text"):
-                found = []
-                for raw in T.column(part, "text").cast(pa.large_binary()).to_pylist():
-                    lower = raw.lower()
-                    found.append(scan(raw.decode()) if any(w in lower for w in _WORDS) else ([], ["NONE"]))
+                found = [scan(text) if _may_hold(text) else ([], ["NONE"]) for text in T.column(part, "text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.list_(pa.string())) for c in zip(*found, strict=True))], ["doc_id", "sentences", "licences"])
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, sentences array<string>, licences array<string>")

@@ -494,6 +494,16 @@ def test_licences_against_brute_force(spark):
         assert [x for x in got[i] if x != "UNKNOWN"] == brute_licences(text), text
 
 
+def test_every_licence_sentence_alone(spark):
+    """Texts that hold nothing else: none is left out for want of a licence word, in a line or over lines."""
+    forms = [f.replace("{any}", "x") for fs in license_scans.SENTENCES.values() for f in fs]
+    texts = ["Released under MIT.", "All rights\nreserved.", *forms, *("/* " + f.replace(" ", "\n * ") for f in forms[::7])]
+    got = {r.doc_id: (r.sentences, r.licences) for r in license_scans.scan_licenses(docs_of(spark, texts)).collect()}
+    assert got[0][1] == ["MIT"] and got[1] == (["all_rights"], ["Proprietary"])
+    for i, text in enumerate(texts):
+        assert got[i] == license_scans.scan(text) and got[i][0], text
+
+
 @pytest.mark.parametrize("name", license_scans.SENTENCES)
 def test_every_form(name):
     for form in license_scans.SENTENCES[name]:
