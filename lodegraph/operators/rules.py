@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..tables import saved
+from . import graph
 from .bounds import small
 
 # Thresholds.
@@ -25,17 +27,36 @@ def contract_violations(contracts: DataFrame, reach: DataFrame) -> DataFrame:
     """contract_id, id, callee: what a function reaches against a rule.  contracts: contract_id, pattern, required,
     exclusions (array of prefixes); reach: id, callee.  A pattern x.* takes ids below x, a dotted one the id itself, a bare one
     last segments equal to it, starting with it and _ or ending with _ and it; a reached required callee clears."""
+    excluded = F.exists("exclusions", lambda p: F.startswith(F.lower("id"), F.lower(p)))
+    rules = small(contracts)
+    hits = reach.join(rules, _hit() & ~excluded).select("contract_id", "id", "callee")
+    cleared = reach.join(rules.filter("required is not null"), F.col("callee") == F.col("required")).select("contract_id", "id").distinct()
+    return hits.distinct().join(cleared, ["contract_id", "id"], "left_anti")
+
+
+def _hit() -> Column:
+    """Whether a pattern takes a callee."""
     last = names.last_segment("callee")
     glob = F.col("pattern").endswith(".*")
     stem = F.regexp_replace("pattern", r"\.\*$", "")
-    hit = F.when(glob, F.startswith("callee", F.concat(stem, F.lit(".")))).when(F.contains(F.col("pattern"), F.lit(".")), F.col("callee") == F.col("pattern")).otherwise(
+    return F.when(glob, F.startswith("callee", F.concat(stem, F.lit(".")))).when(F.contains(F.col("pattern"), F.lit(".")), F.col("callee") == F.col("pattern")).otherwise(
         (last == F.col("pattern")) | F.startswith(last, F.concat(F.col("pattern"), F.lit("_"))) | F.endswith(last, F.concat(F.lit("_"), F.col("pattern")))
     )
-    excluded = F.exists("exclusions", lambda p: F.startswith(F.lower("id"), F.lower(p)))
-    rules = small(contracts)
-    hits = reach.join(rules, hit & ~excluded).select("contract_id", "id", "callee")
-    cleared = reach.join(rules.filter("required is not null"), F.col("callee") == F.col("required")).select("contract_id", "id").distinct()
-    return hits.distinct().join(cleared, ["contract_id", "id"], "left_anti")
+
+
+def contract_violations_within(contracts: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """contract_violations of what each node reaches in at most `depth` steps.  nodes: k, id; edges: caller_id, callee_id, numbers k.
+    A violation needs a callee that a pattern takes or a rule requires, so the steps go backwards from those, and pairs that no
+    rule asks for are never made.  Names come in last: until then a pair is two ints."""
+    rules, callees = small(contracts), nodes.select(F.col("k").alias("target"), F.col("id").alias("callee"))
+    hit = saved(callees.join(rules, _hit()).groupBy("contract_id", "target", "callee").agg(F.collect_set("exclusions").alias("kinds")))
+    needed = saved(callees.join(rules.filter("required is not null"), F.col("callee") == F.col("required")).select("contract_id", "target").distinct())
+    reach = graph.impact_radius(edges, hit.select("target").unionByName(needed.select("target")).distinct(), depth).filter("depth > 0")
+    reach = saved(reach.select("target", F.col("id").alias("k")))
+    cleared = reach.join(small(needed), "target").select("contract_id", "k").distinct()
+    kept = F.exists("kinds", lambda kind: ~F.exists(kind, lambda p: F.startswith(F.lower("id"), F.lower(p))))
+    hits = reach.join(small(nodes.select("k", "id")), "k").join(small(hit), "target").filter(kept)
+    return hits.join(small(cleared), ["contract_id", "k"], "left_anti").select("contract_id", "id", "callee")
 
 
 def naming(results: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import changes as C
-from ..operators import graph as G
 from ..operators import health as H
 from ..operators import rules as R
 from . import views as V
@@ -16,9 +15,7 @@ CONTRACTS = (("c1", "nterti", None, ["zz"]), ("c2", "Brand1.*", "Brand2.LARGE.p1
 
 def _contracts(s, d):
     rules = s.createDataFrame(CONTRACTS, "contract_id string, pattern string, required string, exclusions array<string>")
-    seeds = V.part_nodes(s, d).select(F.col("id").alias("target"))
-    reach = G.impact_radius(V.part_edges(s, d), seeds, 2, forward=True).filter("depth > 0").select(F.col("target").alias("id"), F.col("id").alias("callee"))
-    return R.contract_violations(rules, reach)
+    return R.contract_violations_within(rules, *V.numbered_parts(s, d), 2)
 
 
 _SUBJECTS = ("Fix a", "add b", "Refactor c", "architecture of d", "misc", "Revert e", "newer f", "drop g")

@@ -1,5 +1,7 @@
 """Rules of the operators on small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +110,26 @@ def test_concentration(spark):
     assert architecture.concentration(results.filter(F.lit(False))).count() == 0
 
 
+def test_contracts_follow_only_what_a_rule_names(spark, monkeypatch):
+    """The violations of all pairs, without making the pairs: what is saved holds pairs with a callee of a rule only."""
+    rng = random.Random(3)
+    ids = [f"{rng.choice(['a', 'b', 'Net'])}.m{i % 7}.f{i}" for i in range(60)]
+    nodes = graph.numbered(spark.createDataFrame([(x,) for x in ids], "id string").repartition(3))
+    number = {r.id: r.k for r in nodes.collect()}
+    assert sorted(number.values()) == list(range(60))
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(150)]
+    contracts = spark.createDataFrame([("c", "f7", None, ["b."]), ("c", "a.m3.*", None, ["net"]), ("d", ids[9], ids[5], []), ("e", "b.*", ids[8], ["A."]), ("f", "none", None, None)], "contract_id string, pattern string, required string, exclusions array<string>")
+    by_name = spark.createDataFrame(pairs, "caller_id string, callee_id string")
+    reach = graph.impact_radius(by_name, spark.createDataFrame([(x,) for x in ids], "target string"), 2, forward=True).filter("depth > 0").selectExpr("target as id", "id as callee")
+    want, made = rows(rules.contract_violations(contracts, reach)), []
+    plain = rules.saved
+    monkeypatch.setattr(rules, "saved", lambda df: made.append(out := plain(df)) or out)
+    edges = spark.createDataFrame([(number[a], number[b]) for a, b in pairs], "caller_id int, callee_id int")
+    assert want and rows(rules.contract_violations_within(contracts, nodes, edges, 2)) == want
+    named = {r.target for df in made[:2] for r in df.collect()}
+    assert {r.target for r in made[2].collect()} <= named and len(named) < 60
+
+
 def test_design_patterns(spark):
     nie, no = "def m(self):\n    raise NotImplementedError", "def m(self):\n    pass"
     methods = spark.createDataFrame(
