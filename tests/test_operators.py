@@ -110,6 +110,21 @@ def test_concentration(spark):
     assert architecture.concentration(results.filter(F.lit(False))).count() == 0
 
 
+def test_reach_counts(spark, monkeypatch):
+    """Counts of the pairs, by few tasks that make none of them and, for larger graphs, by levels."""
+    rng = random.Random(4)
+    nodes = graph.numbered(spark.range(700).selectExpr("concat('n', id) as id").repartition(3))
+    number = {r.id: r.k for r in nodes.collect()}
+    pairs = [(f"n{rng.randrange(650)}", f"n{rng.randrange(650) // rng.choice([1, 1, 50])}") for _ in range(1500)] + [("n3", "n3"), ("n3", "n4"), ("n3", "n4")]
+    by_name = spark.createDataFrame(pairs, "caller_id string, callee_id string")
+    want = rows(graph.impact_radius(by_name, nodes.select(F.col("id").alias("target")), 3).groupBy("target", "depth").count())
+    edges = spark.createDataFrame([(number[a], number[b]) for a, b in pairs], "caller_id int, callee_id int")
+    assert rows(graph.reach_counts(nodes, edges, 3, most=10)) == want
+    monkeypatch.setattr(graph, "impact_radius", None)  # its pairs can be the square of the nodes
+    assert rows(graph.reach_counts(nodes, edges, 3)) == want
+    assert rows(graph.reach_counts(nodes, edges.limit(0), 3)) == sorted((x, 0, 1) for x in number)
+
+
 def test_contracts_follow_only_what_a_rule_names(spark, monkeypatch):
     """The violations of all pairs, without making the pairs: what is saved holds pairs with a callee of a rule only."""
     rng = random.Random(3)
