@@ -84,12 +84,12 @@ uses as (select distinct pc.caller_id as id, h.method as hook from pc join metho
 """
 
 
-def _found(s, d):
-    return P.detect(C.methods(s, d), C.inherits(s, d), C.method_calls(s, d), C.fields(s, d))
+def _found(s, d, *only):
+    return P.detect(C.methods(s, d), C.inherits(s, d), C.method_calls(s, d), C.fields(s, d), only or None)
 
 
 def _query(name: str):
-    return lambda s, d: _found(s, d).filter(F.col("pattern") == name).select("id", "class_id", "role", "confidence", "missing")
+    return lambda s, d: _found(s, d, name).select("id", "class_id", "role", "confidence", "missing")
 
 
 QUERIES = {f"pattern_{name}": (_query(name), _WITH + f"select id, class_id, role, cast(confidence as double) as confidence, missing from ({sql})") for name, sql in _SQL.items()}

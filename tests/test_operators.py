@@ -145,6 +145,18 @@ def test_contracts_follow_only_what_a_rule_names(spark, monkeypatch):
     assert {r.target for r in made[2].collect()} <= named and len(named) < 60
 
 
+def test_patterns_are_not_one_plan(spark):
+    """What a pattern finds is saved as it is found, so the driver never holds the joins of all patterns; asked for one, no other is looked for."""
+    methods = spark.createDataFrame([("m.B.run", "m.B", "run", "raise NotImplementedError", []), ("m.S.run", "m.S", "run", "x", []), ("m.B.accept", "m.B", "accept", "x", [])], "id string, class_id string, method string, body string, decorators array<string>")
+    inherits, calls = spark.createDataFrame([("m.S", "m.B")], "sub string, base string"), spark.createDataFrame([("m.S.run", "m.B.run")], "caller_id string, callee_id string")
+    fields = spark.createDataFrame([], "id string")
+    found = patterns.detect(methods, inherits, calls, fields)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for pattern in ("strategy", "visitor", "decorator_or_proxy"):
+        want = rows(found.filter(F.col("pattern") == pattern))
+        assert want and rows(patterns.detect(methods, inherits, calls, fields, (pattern,))) == want
+
+
 def test_design_patterns(spark):
     nie, no = "def m(self):\n    raise NotImplementedError", "def m(self):\n    pass"
     methods = spark.createDataFrame(
