@@ -42,3 +42,14 @@ def test_searches_ask_every_twentieth_row(spark, name):
     test_against_sql(spark, name)
     asked = spark.read.parquet(f"{DIR}/embeddings.parquet").filter("vec_id % 20 = 0").count()
     assert entry.queries()[name](spark, DIR).select("query_id").distinct().count() >= asked > 20
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_dependents_are_named(spark):
+    """find_dependents gives each dependent of each part, as impact_radius does, not how many there are."""
+    test_against_sql(spark, "find_dependents")
+    got = entry.queries()["find_dependents"](spark, DIR)
+    assert got.columns == ["target", "id", "depth"]
+    near = entry.queries()["impact_radius"](spark, DIR)
+    assert near.join(got, near.columns, "left_anti").count() == 0
+    assert got.select("target").distinct().count() == spark.read.parquet(f"{DIR}/part.parquet").count()

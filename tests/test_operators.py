@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +127,33 @@ def test_reach_counts(spark, monkeypatch):
     assert rows(graph.reach_counts(nodes, edges.limit(0), 3)) == sorted((x, 0, 1) for x in number)
 
 
+def test_reach(spark, monkeypatch):
+    """Every pair, by few tasks and, for larger graphs, by levels; batches end inside levels."""
+    rng = random.Random(5)
+    nodes = graph.numbered(spark.range(600).selectExpr("concat('n', id) as id").repartition(3))
+    number = {r.id: r.k for r in nodes.collect()}
+    pairs = [(f"n{rng.randrange(550)}", f"n{rng.randrange(550) // rng.choice([1, 1, 50])}") for _ in range(1300)] + [("n3", "n3"), ("n3", "n4"), ("n3", "n4")]
+    callers, want = {}, []
+    for a, b in pairs:
+        callers.setdefault(b, set()).add(a)
+    for target in number:
+        seen, front = {target}, {target}
+        for depth in range(4):
+            want += [(target, x, depth) for x in front]
+            front = {a for b in front for a in callers.get(b, ())} - seen
+            seen |= front
+    edges = spark.createDataFrame([(number[a], number[b]) for a, b in pairs], "caller_id int, callee_id int")
+    assert rows(graph.reach(nodes, edges, 3, most=10)) == sorted(want)
+    monkeypatch.setattr(graph, "impact_radius", None)  # its pairs are saved
+    assert rows(graph.reach(nodes, edges, 3)) == sorted(want)
+    assert rows(graph.reach(nodes, edges.limit(0), 3)) == sorted((x, x, 0) for x in number)
+    assert rows(graph.reach(nodes.limit(0), edges.limit(0), 3)) == []
+    runs, fronts = [(7, 0, 1), (7, 1, graph.BATCH), (9, 0, 1)], [np.array([7]), np.arange(graph.BATCH), np.array([9])]
+    made = list(graph._batches(pa.array([f"n{x}" for x in range(graph.BATCH)], pa.large_string()), runs, fronts))
+    assert [b.num_rows for b in made] == [graph.BATCH, 2]
+    assert made[1].to_pylist() == [{"target": "n7", "id": f"n{graph.BATCH - 1}", "depth": 1}, {"target": "n9", "id": "n9", "depth": 0}]
+
+
 def test_contracts_follow_only_what_a_rule_names(spark, monkeypatch):
     """The violations of all pairs, without making the pairs: what is saved holds pairs with a callee of a rule only."""
     rng = random.Random(3)
